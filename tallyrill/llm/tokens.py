@@ -14,12 +14,13 @@ lost or repeated attempts are never read.
 Cases: null or empty text is a document with the end id only; a null doc_id is stored as
 the smallest int64, sorts first and is read back as null; rows that share a doc_id are
 documents of their own, in any order among themselves; an empty table gives no shards.
-Texts are cut only between blanks or newlines, where no token can span, so the ids equal
-those of the whole text.
+Texts are cut only where no token can span (see ``Encoder``), so the ids equal those of the whole text.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,40 +37,89 @@ NULL_ID = -(1 << 63)
 MANIFEST = T.StructType([T.StructField("name", T.StringType()), T.StructField("first_doc", T.LongType()), T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType())])
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: Entries of the piece cache of one Python worker; it is emptied when full.
-CACHE = 400_000
-#: Pieces longer than this many characters are encoded but not kept.
-LONG_PIECE = 64
+#: Entries of each of the two caches of one Python worker; a full one is emptied.
+CACHE = 300_000
+#: Chunks longer than this many characters are not kept.
+LONG = 64
 
 
 class Encoder:
-    """Encodes whole texts with one tokenizer, remembering the ids of frequent pieces."""
+    """Encodes whole texts with one tokenizer, remembering the ids of chunks and of words.
+
+    Texts are cut at white space, and chunks of texts that ``NOT_LATIN`` doesn't match into exactly the
+    tokenizer's own pre-tokens, lower-cased: below U+0250 (but for the code points excluded)
+    its composition changes nothing, and case and classes are those of Python.  Other texts
+    are cut at blanks and newlines only, and their chunks are encoded as they are.
+    """
 
     def __init__(self, path: str, end_id: int, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype, self.end = np.dtype(dtype), np.array([end_id], dtype=dtype).tobytes()
-        self.kept: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(pieces, found, strict=True)}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _fast(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of single pre-tokens: joined by blanks and cut after each word-end token."""
+        for at in range(0, len(words), 1_000):
+            part = words[at : at + 1_000]
+            ids = self._fast([" ".join(part)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            found = np.split(ids, cuts[:-1]) if len(cuts) == len(part) and cuts[-1] == len(ids) else self._fast(part)
+            yield from zip(part, (f.tobytes() for f in found), strict=True)
+
+    def _latin(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
+        cut = [PRE_TOKEN.findall(c) for c in fresh]
+        self.words.update(self._learn(list({w for own in cut for w in own}.difference(self.words))))
+        yield from zip(fresh, (b"".join(map(self.words.__getitem__, own)) for own in cut), strict=True)
+
+    def _raw(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(fresh), 1_000):
+            part = fresh[at : at + 1_000]
+            yield from zip(part, (f.tobytes() for f in self._fast(part)), strict=True)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        fresh: set[str] = set()
-        for pieces in split:
-            fresh.update(set(pieces).difference(self.kept))
-        found = self._encode(list(fresh))
-        once = {p: b for p, b in found.items() if len(p) > LONG_PIECE}
-        self.kept.update((p, b) for p, b in found.items() if len(p) <= LONG_PIECE)
-        if once:
-            at = lambda p: self.kept.get(p) if p in self.kept else once[p]
-            return [b"".join(map(at, pieces)) + self.end for pieces in split]
-        return [b"".join(map(self.kept.__getitem__, pieces)) + self.end for pieces in split]
+        for kept in (self.chunks, self.words):
+            if len(kept) > CACHE:
+                kept.clear()
+        out: list[bytes] = [self.end] * len(texts)
+        latin = [k for k, t in enumerate(texts) if t and not NOT_LATIN.search(t)]
+        other = [k for k, t in enumerate(texts) if t and NOT_LATIN.search(t)]
+        for rows, cut, learn, kept in ((latin, lambda t: t.lower().split(), self._latin, self.chunks), (other, lambda t: t.replace("\n", " ").split(" "), self._raw, {})):
+            split = [cut(texts[k]) for k in rows]
+            fresh: set[str] = set()
+            for own in split:
+                fresh.update(set(own).difference(kept))
+            kept.update(learn(list(fresh)))
+            for k, own in zip(rows, split, strict=True):
+                out[k] = b"".join(map(kept.__getitem__, own)) + self.end
+            for chunk in fresh:
+                if len(chunk) > LONG:
+                    del kept[chunk]
+        return out
+
+
+#: The pre-token pattern of the 49k word vocabulary, for code points below U+0250.
+PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w\\s]|_)+")
+NOT_LATIN = re.compile("[^\x00-\u024f]|[\x1c-\x1f\u0130]|<[|]")
+
+
+#: One encoder for each tokenizer in a Python worker, kept from task to task.
+ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(*key) -> Encoder:
+    if key not in ENCODERS:
+        ENCODERS[key] = Encoder(*key)
+    return ENCODERS[key]
 
 
 def _open(folder: str):
@@ -79,7 +129,7 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file://{folder}".replace("file://file:", "file://"))
 
 
-def _sized(texts: pa.Array, ids: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[list, list]]:
+def _sized(texts: pa.Array, ids: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Slices of a batch of about ``limit`` characters."""
     held, keys, size = [], [], 0
     for text, key in zip(texts, ids, strict=True):
@@ -105,7 +155,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: i
         for batch in batches:
             for texts, ids in _sized(batch.column("text"), batch.column("doc_id")):
                 if encoder is None:
-                    encoder, name = Encoder(tokenizer, end_id, dtype), uuid.uuid4().hex
+                    encoder, name = encoder_of(tokenizer, end_id, dtype), uuid.uuid4().hex
                     where, path = _open(folder)
                     out = where.open_output_stream(f"{path}/{name}.ids")
                 for raw in encoder(texts):
