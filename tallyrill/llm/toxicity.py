@@ -95,7 +95,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, fairness:
     """Weights by feature and the intercept; Adam over the whole sample, so that reruns agree."""
     labels = np.asarray(labels, dtype=float)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return np.zeros(DIMENSIONS), math.log(max(share, 1e-6) / max(1 - share, 1e-6)) if len(labels) else 0.0
     told = telling(rows, labels)
     rows = [r[np.isin(r, told)] for r in rows]
