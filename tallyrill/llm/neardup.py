@@ -8,13 +8,14 @@ full, so every coordinate fills, after O(n + T log T) throws in expectation, and
 equal coordinates estimates the Jaccard similarity with Chernoff-type bounds.
 
 BANDS bands of ROWS coordinates give candidate buckets.  At similarity 0.8 a pair shares no
-band with probability (1 - 0.8^6)^40 = 5e-6.  Buckets never emit all their pairs: round k takes
-about 4^k pivots (chosen by hash) of each bucket that still spans several components, compares each with the
-bucket's members of other components (sizes permitting), verifies on full sets, and merges.
-A pivot has then been held against its whole bucket and leaves it.  Rounds go on until every
-bucket lies within one component or has run out of pivots, so no candidate is capped and a
-bucket of m members needs O(log m) rounds; in a group of copies nearly all pairs are settled by
-their component and never formed.
+band with probability (1 - 0.8^6)^40 = 5e-6.  Buckets never emit their pairs.  First every member
+is held against its bucket's smallest id, the same pivot in most of a group's buckets, on full sets; most
+groups of copies are one component then, and their buckets are done.  Members of buckets that still
+span several components form clusters (chained by shared buckets).  A cluster is dealt by size class
+(two sizes at similarity 0.8 lie in the same or in neighbouring classes) and hash into blocks, and
+each pair of blocks is one bounded group that compares full sets of different components and
+returns a spanning set of links.  So every candidate is verified, with no cap, and what leaves
+a group grows with its documents, not with its pairs.
 
 Cases: null or empty text, or one without words, has an empty set and is linked with nothing;
 a null doc_id is linked with nothing and is kept (its component is null); rows that share a
@@ -36,6 +37,8 @@ from tallyrill.llm.workspace import Workspace, require
 
 BANDS, ROWS = 40, 6
 T = BANDS * ROWS
+#: Most documents of a block, and about the most shingles of all its documents.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 SKETCH = "doc_id long, n long, f1 long, f2 long, bands array<long>"
 
 
@@ -115,13 +118,47 @@ def _linked(width: int, percent: int):
     return task
 
 
+def _spanning(width: int, percent: int):
+    """One pair of blocks -> links that join its components, verified on full sets."""
+
+    def task(table: pa.Table) -> pa.Table:
+        ids, comp = (table.column(c).to_numpy() for c in ("id", "c"))
+        sets: list[np.ndarray] = []
+        for _, part in chunks(t.as_py() for t in table.column("text")):
+            sets += shingle_sets(Words(part, NOT_SPACE), width)
+        size = np.array([len(s) for s in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        left = np.flatnonzero(np.array(table.column("left").to_pylist()))
+        right = np.flatnonzero(np.array(table.column("right").to_pylist()) & (size > 0))
+        if not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        other = np.concatenate([code[begin[j] : begin[j] + size[j]] for j in right])
+        starts = np.cumsum(size[right]) - size[right]
+        root = np.unique(comp, return_inverse=True)[1]  # present component, joined as links turn up
+        mark, found = np.zeros(int(code.max()) + 1, dtype=bool), []
+        for i in left:
+            if (root[right] == root[i]).all():
+                continue
+            mine = code[begin[i] : begin[i] + size[i]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[other].astype(np.int64), starts)
+            mark[mine] = False
+            for j in right[100 * both >= percent * (size[i] + size[right] - both)]:
+                if root[j] != root[i]:
+                    found.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return task
+
+
 class Finder:
-    """Classes, buckets and rounds of one corpus."""
+    """Classes, buckets and links of one corpus."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.ws = Workspace(docs.sparkSession, "neardup")
         self.docs, self.width, self.percent = docs.filter("doc_id is not null"), width, percent
-        self.edges: list[DataFrame] = []
 
     def signatures(self) -> DataFrame:
         return self.ws.table(self.docs.mapInArrow(_signatures(self.width), SKETCH), "signatures")
@@ -143,6 +180,25 @@ class Finder:
         tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return self.ws.table(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_linked(self.width, self.percent), "a long, b long"), f"edges-{tag}")
 
+    def in_blocks(self, rest: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between different components among the members of open buckets, cluster by cluster."""
+        cluster = components(self.ws, rest.select(F.col("first").alias("a"), F.col("id").alias("b")), "clusters")
+        members = rest.groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("buckets")).join(cluster.select("id", F.col("component").alias("g")), "id")
+        members = self.ws.table(members.select("id", "n", "c", "g", F.floor(F.log("n") / F.log(F.lit(100.0 / self.percent)) + 1e-9).cast("int").alias("z")), "members")
+        docs = F.greatest(F.lit(8), F.least(F.lit(BLOCK), (BLOCK_SHINGLES / F.max("n")).cast("int")))
+        sizes = self.ws.table(members.groupBy("g", "z").agg(F.ceil(F.count(F.lit(1)) / docs).cast("int").alias("nb")), "sizes")
+        own = members.join(sizes, ["g", "z"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+        # the blocks that a member's block meets: of its class, of the next larger and of the next smaller one
+        met = []
+        for step in (0, 1, -1):
+            other = sizes.select("g", (F.col("z") - step).alias("z"), F.col("nb").alias("onb"))
+            each = own.join(other, ["g", "z"]).withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("onb") - 1)))
+            mine, theirs = F.struct("z", "b"), F.struct((F.col("z") + step).alias("z"), F.col("ob").alias("b"))
+            met.append(each.select("g", "id", "c", mine.alias("side"), F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y")))
+        dealt = met[0].unionByName(met[1]).unionByName(met[2])
+        dealt = dealt.select("g", "id", "c", (F.col("side") == F.col("x")).alias("left"), (F.col("side") == F.col("y")).alias("right"), "x", "y").join(texts, "id")
+        return dealt.groupBy("g", "x", "y").applyInArrow(_spanning(self.width, self.percent), "a long, b long")
+
     def _close(self, p: str, m: str):
         """Sizes that allow the similarity."""
         return (F.col(p) * 100 >= F.col(m) * self.percent) & (F.col(m) * 100 >= F.col(p) * self.percent)
@@ -155,34 +211,19 @@ class Finder:
         ids = active.select(F.col("id").alias("doc_id")).distinct()
         texts = self.docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         texts = self.ws.table(texts, "texts")
-        found: DataFrame | None = None
-        k = 0
-        while True:
-            if k == 0:
-                pivots = active.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"), F.col("p.id").alias("pc"))
-                members = active.withColumn("c", F.col("id"))
-            else:
-                members = active
-                chance = F.pmod(F.xxhash64(F.lit(k), "key", "id"), F.lit(1 << 30)) / (1 << 30)
-                pivots = active.filter(chance * F.col("m") < 4**k).select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-            pairs = pivots.join(members, "key").filter((F.col("p") != F.col("id")) & (F.col("pc") != F.col("c")) & self._close("pn", "n"))
-            pairs = self.ws.table(pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), f"pairs-{k}")
-            edge = self.verify(pairs, texts, str(k))
-            self.edges.append(edge)
-            links = self.edges[0]
-            for e in self.edges[1:]:
-                links = links.unionByName(e)
-            if k == 0 or edge.limit(1).count():
-                found = components(self.ws, links, f"components-{k}")
-            # members that are no longer pivots, with their present component, in buckets of several components
-            rest = members.join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n")
-            rest = rest.join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            several = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("key", "m")
-            active = self.ws.table(rest.join(several, "key"), f"active-{k}")
-            self.ws.drop(f"pairs-{k}", f"active-{k - 1}")
-            k += 1
-            if not active.limit(1).count():
-                break
+        pivots = active.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
+        pairs = active.join(pivots, "key").filter((F.col("p") != F.col("id")) & self._close("pn", "n"))
+        pairs = self.ws.table(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        links = self.verify(pairs, texts, "pivots")
+        found = components(self.ws, links, "components-0")
+        placed = active.join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).filter("lo < hi").select("key", "first")
+        rest = self.ws.table(placed.join(several, "key"), "rest")
+        if rest.limit(1).count():
+            links = self.ws.table(links.unionByName(self.in_blocks(rest, texts)), "links")
+            found = components(self.ws, links, "components-1")
+            self.ws.drop("links")
+        self.ws.drop("edges-pivots", "pairs", "rest")
         self.ws.drop("buckets-0", "texts")
         return signed, found, classes
 
