@@ -1,8 +1,9 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
-Features of a text: which of its words (ASCII-lower-cased, trimmed of punctuation) occur,
-and which five-byte word beginnings, each hashed to one of DIMENSIONS weights; a text is
-its set of features, so length and order don't matter.  The fit minimises the log loss over
+Features of a text: which of its words (ASCII-lower-cased, trimmed of punctuation) occur, which word
+beginnings (of STEMS bytes) occur, and which of them several of its distinct words share (SHARED),
+each hashed to one of DIMENSIONS weights; a text is its set of features, so the order of its words
+doesn't matter and neither does how often one of them recurs.  The fit minimises the log loss over
 labelled texts, plus an L2 term, plus ``fairness`` times the mean squared change of the
 logit when the identity terms of a text are swapped for those of another group
 (counterfactual logit pairing).  Words of a group then can't carry weight by themselves, so
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.wordhash import ALNUM, Words, chunks
+from tallyrill.llm.wordhash import ALNUM, Words, chunks, mix, seeds
 from tallyrill.llm.workspace import Workspace, require
 
 DIMENSIONS = 1 << 18
@@ -35,6 +36,8 @@ DIMENSIONS = 1 << 18
 SAMPLE = 6_000
 FEATURES_OF_ROW = 8_000
 THRESHOLD = 0.7
+#: Lengths of word beginnings, and the numbers of distinct words of a text that make a shared beginning a feature of its own.
+STEMS, SHARED = (4, 6, 8), (2, 4)
 TELLING = 4.0
 
 #: Groups whose terms are swapped for each other, by position: fixed lists of neutral identity terms.
@@ -53,11 +56,17 @@ IDENTITY_TERMS = (
 
 def features(words: Words) -> Iterator[np.ndarray]:
     """Per text its sorted distinct feature indices."""
-    whole = (words.hashes % np.uint64(DIMENSIONS)).astype(np.int32)
-    starts = (words.prefix_hashes(5) % np.uint64(DIMENSIONS)).astype(np.int32)
-    long = words.ends - words.starts > 5
+    sizes = words.ends - words.starts
+    stems = [(words.prefix_hashes(n), sizes > n) for n in STEMS]
+    salts = seeds(len(SHARED), 8)
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-        yield np.unique(np.concatenate((whole[a:b], starts[a:b][long[a:b]])))
+        whole, at = np.unique(words.hashes[a:b], return_index=True)
+        found = [whole]
+        for hashes, long in stems:
+            beginnings, count = np.unique(hashes[a:b][at][long[a:b][at]], return_counts=True)
+            found.append(beginnings)
+            found += [mix(beginnings[count >= n] ^ salt) for n, salt in zip(SHARED, salts, strict=True)]
+        yield np.unique((np.concatenate(found) % np.uint64(DIMENSIONS)).astype(np.int32))
 
 
 def swap_table() -> list[dict[int, int]]:
