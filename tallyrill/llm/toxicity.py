@@ -1,7 +1,7 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
 Features of a text: which of its words (ASCII-lower-cased, trimmed of punctuation) occur, which word
-beginnings (of STEMS bytes) occur, and which of them several of its distinct words share (SHARED),
+beginnings (of STEMS bytes) occur, and which of them several of its distinct words share (SHARED; identity terms count as whole words only),
 each hashed to one of DIMENSIONS weights; a text is its set of features, so the order of its words
 doesn't matter and neither does how often one of them recurs.  The fit minimises the log loss over
 labelled texts, plus an L2 term, plus ``fairness`` times the mean squared change of the
@@ -19,6 +19,7 @@ repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -56,7 +57,8 @@ IDENTITY_TERMS = (
 
 def features(words: Words) -> Iterator[np.ndarray]:
     """Per text its sorted distinct feature indices."""
-    sizes = words.ends - words.starts
+    # identity terms count as whole words only, so that a swap moves all that they contribute
+    sizes = np.where(np.isin(words.hashes, _term_hashes()), 0, words.ends - words.starts)
     stems = [(words.prefix_hashes(n), sizes > n) for n in STEMS]
     salts = seeds(len(SHARED), 8)
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
@@ -69,6 +71,11 @@ def features(words: Words) -> Iterator[np.ndarray]:
         yield np.unique((np.concatenate(found) % np.uint64(DIMENSIONS)).astype(np.int32))
 
 
+@functools.cache
+def _term_hashes() -> np.ndarray:
+    return Words([t.encode() for group in IDENTITY_TERMS for t in group], ALNUM).hashes
+
+
 def swap_table() -> list[dict[int, int]]:
     """For each shift of the groups: feature of a term -> feature of its counterpart."""
     flat = [[t.encode() for t in group] for group in IDENTITY_TERMS]
