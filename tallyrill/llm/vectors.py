@@ -7,8 +7,8 @@ a vector also looks into the buckets in which one hash is replaced by its next P
 
 A bucket's members are dealt into blocks of BLOCK by hash, and each pair of blocks is one small
 group: cosines come from one matrix product in double precision, and only counts of links and a
-spanning set of links leave it, never pairs.  A pair that meets in several tables counts in the
-first of them, which each side's bucket keys tell.  A hot bucket so becomes many equal groups.
+spanning set of links leave it, never pairs.  A pair that meets in several buckets counts in one,
+the smallest key of the first table, which each side's bucket keys tell.  A hot bucket so becomes many equal groups.
 Vectors that are equal bit for bit form a class that is sent once, with its size.
 
 Cases: a null or zero vector, one that holds null or non-finite components, a null vec_id or a
@@ -109,15 +109,22 @@ def _scaled(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _met(main: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For pairs of rows the first table in which they meet."""
+def _met(main: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of rows the first table in which they meet, and the smallest key of the buckets there that hold both.
+
+    Two rows that probe each other's buckets share two of them in one table.
+    """
     per = probe.shape[1] // TABLES
-    first = np.full(len(i), TABLES)
+    first, bucket = np.full(len(i), TABLES), np.zeros(len(i), dtype=np.int64)
     for t in range(TABLES - 1, -1, -1):
         own = slice(t * per, (t + 1) * per)
-        meet = (main[i, t] == main[j, t]) | (probe[i, own] == main[j, t][:, None]).any(axis=1) | (probe[j, own] == main[i, t][:, None]).any(axis=1)
+        a, b = main[i, t], main[j, t]
+        in_a = (a == b) | (probe[j, own] == a[:, None]).any(axis=1)
+        in_b = (a == b) | (probe[i, own] == b[:, None]).any(axis=1)
+        meet = in_a | in_b
         first[meet] = t
-    return first
+        bucket[meet] = np.where(in_a & in_b, np.minimum(a, b), np.where(in_a, a, b))[meet]
+    return first, bucket
 
 
 def _compared(threshold: float):
@@ -139,8 +146,10 @@ def _compared(threshold: float):
         i, j = left[i], right[j]
         good = role[i] | role[j]  # two probes don't meet here
         i, j = i[good], j[good]
-        good = (_met(main, probe, i, j) == t) & ((x[i] * x[j]).sum(axis=1) >= threshold) if len(i) else np.zeros(0, dtype=bool)
-        i, j = i[good], j[good]
+        if len(i):
+            first, bucket = _met(main, probe, i, j)
+            good = (first == t) & (bucket == key) & ((x[i] * x[j]).sum(axis=1) >= threshold)
+            i, j = i[good], j[good]
         links = np.bincount(i, weights=size[j], minlength=len(rep)) + np.bincount(j, weights=size[i], minlength=len(rep))
         # spanning links: each vector's smallest label, until nothing moves
         low = np.arange(len(rep))
