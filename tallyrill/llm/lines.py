@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tallyrill.llm.workspace import Workspace, require
 
 NULL_ID = -(1 << 63)
-FANOUT = 4
+#: Runs of a level that compact into one of the next; below the number of batches, so that compaction happens as batches come.
+FANOUT = 2
 BLANK = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
