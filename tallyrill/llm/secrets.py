@@ -2,18 +2,19 @@
 
 Base spans come from three patterns (``KINDS``), leftmost and non-overlapping for each kind.
 The method then tests every run of 20 or more of `[A-Za-z0-9+/_=-]` that no base span touches
-and that mixes letters with digits.  Its encoding (hex, base32 or base64) is inferred from its
-characters.  Three statistics are formed for a token of n characters:
-
-* chi-squared alphabet uniformity, as the collision rate C = sum c(c-1) / n(n-1): ordinary
-  text collides at ORDINARY_RATE or more, an evenly used alphabet of k at 1/k;
-* runs: changes between lower case, upper case, digits and others, of which ordinary text has at
-  most ORDINARY_CHANGE for each neighbouring pair;
+and that mixes letters with digits.  Its encoding (hex, base32, alnum of one case or base64) is
+inferred from its characters.  Each statistic of a token of n characters has the expected value and
+spread that ordinary text written in that encoding has (ORDINARY):
+
+* chi-squared alphabet uniformity, as the collision rate C = sum c(c-1) / n(n-1): an evenly used
+  alphabet of k collides at 1/k, ordinary text more often;
+* letter use: the mean log ratio of an even use of the encoding's letters to LETTERS;
+* runs: changes between lower case, upper case, digits and others for each neighbouring pair;
 * serial correlation of neighbouring alphabet positions: a token whose |r| sqrt(n) exceeds
   SERIAL_LIMIT is a pattern, not random, and drops out.
 
-The first two become z scores against ordinary text, with deviations that shrink as n grows,
-and add up (Stouffer) to one p-value.  Benjamini-Hochberg at ALPHA, separately by length class
+The first three become z scores against ordinary text, with deviations that shrink as n grows,
+and add up (Stouffer, with the correlation of the two on the alphabet) to one p-value.  Benjamini-Hochberg at ALPHA, separately by length class
 (LENGTHS), decides: the corpus-wide ranking is a histogram of at most 4 x 1201 counts, so it
 covers all tokens and takes the same space at any size.  The threshold is a bin's lower edge,
 so control holds; nothing is sampled.
@@ -38,10 +39,16 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: matches lie are in the pattern; ``assign`` needs its matches first and their length after.
 KINDS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-ORDINARY_RATE, ORDINARY_CHANGE, SERIAL_LIMIT, ALPHA = 0.062, 0.2, 3.5, 0.001
+#: Ordinary text in each encoding: (collision rate, changes for each neighbouring pair).
+ORDINARY = {"hex": (0.11, 0.25), "base32": (0.055, 0.12), "alnum": (0.055, 0.12), "base64": (0.046, 0.3)}
+#: Letters per thousand, a to z, on average in English, German, French and Spanish; rare ones, which names and numbers favour, count as 10.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 16, 32, 45, 140, 14, 19, 30, 71, 10, 10, 45, 28, 76, 61, 19, 10, 67, 74, 68, 41, 11, 11, 10, 10, 10), strict=True))
+#: Correlation of letter use with the collision rate in ordinary text.
+SHARED = 0.5
+SERIAL_LIMIT, ALPHA = 3.5, 0.001
 LENGTHS = (20, 28, 40, 64)
 BIN, BINS = 0.025, 1200
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
 def located(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
@@ -65,34 +72,68 @@ def located(text: Column, pattern: str, kind: str, keep: Column | None = None) -
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not again in every lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_encoding(encoding: Column, values: dict) -> Column:
+    out = F.lit(values["base64"])
+    for name, value in values.items():
+        out = F.when(encoding == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def letter_use(alphabet: str) -> tuple[dict[str, float], float, float]:
+    """Log ratio of even to ordinary use for each letter of an alphabet, and its mean and deviation in ordinary text."""
+    share = {c: LETTERS[c] for c in LETTERS if c in alphabet.lower()}
+    total = sum(share.values())
+    ratio = {c: math.log(total / (len(share) * v)) for c, v in share.items()}
+    mean = sum(v / total * ratio[c] for c, v in share.items())
+    return ratio, mean, math.sqrt(sum(v / total * (ratio[c] - mean) ** 2 for c, v in share.items()))
+
+
 def z_score(token: Column) -> Column:
     """Combined evidence that a token is random rather than ordinary text; null if a pattern shows."""
-    encoding = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
-    alphabet = F.when(encoding == "hex", F.lit(ALPHABETS["hex"])).when(encoding == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
-    body = F.regexp_replace(F.when(encoding == "hex", F.translate(token, "ABCDEF", "abcdef")).otherwise(F.translate(token, "-_", "+/")), "=+$", "")
-    chars = F.split(body, "")
-    return _scored(chars, alphabet, F.when(encoding == "hex", 16.0).when(encoding == "base32", 32.0).otherwise(64.0))
+    encoding = F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
+    encoding = encoding.when(token.rlike("^(?:[A-Z0-9]+|[a-z0-9]+)=*$"), F.lit("alnum")).otherwise(F.lit("base64"))
+    body = F.when(encoding.isin("hex", "alnum"), F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+    known = F.struct(F.split(F.regexp_replace(body, "=+$", ""), "").alias("chars"), encoding.alias("encoding"), _by_encoding(encoding, ALPHABETS).alias("alphabet"))
+    return _let(known, lambda x: _scored(x["chars"], x["encoding"], x["alphabet"]))
 
 
-def _scored(chars: Column, alphabet: Column, k: Column) -> Column:
+def _scored(chars: Column, encoding: Column, alphabet: Column) -> Column:
     n = F.size(chars).cast("double")
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double"))
     zero = F.lit(0.0)
     rate = F.aggregate(counts, zero, lambda a, c: a + c * (c - 1)) / (n * (n - 1))
-    # deviation of the collision rate for ordinary text; a smaller alphabet can't get below 1 / k
-    q = F.greatest(F.lit(ORDINARY_RATE), 1.25 / k)
+    q = _by_encoding(encoding, {e: v[0] for e, v in ORDINARY.items()})
     spread = F.sqrt(2 * q * (1 - q) / (n * (n - 1)) + 4 * (n - 2) / (n * (n - 1)) * q * q * 0.4)
     z1 = (q - rate) / spread
+    used = {e: letter_use(a) for e, a in ALPHABETS.items()}
+    letters = F.filter(F.transform(chars, F.lower), lambda c: c.rlike("[a-z]"))
+    few = {e: F.create_map(*(F.lit(x) for pair in u[0].items() for x in pair)) for e, u in used.items()}
+    ratio = F.when(encoding == "hex", few["hex"]).otherwise(few["base64"])  # the others hold all letters
+    m = F.size(letters).cast("double")
+    mean, deviation = (_by_encoding(encoding, {e: u[k] for e, u in used.items()}) for k in (1, 2))
+    z3 = F.when(m > 0, (F.aggregate(letters, zero, lambda a, c: a + ratio[c]) - m * mean) / (deviation * F.sqrt(m))).otherwise(0.0)
     kinds = F.transform(chars, lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
     pairs = n - 1
+    usual = _by_encoding(encoding, {e: v[1] for e, v in ORDINARY.items()})
     changes = F.aggregate(F.zip_with(F.slice(kinds, 2, F.size(chars)), F.slice(kinds, 1, F.size(chars) - 1), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), zero, lambda a, x: a + F.coalesce(x, zero))
-    z2 = (changes - pairs * ORDINARY_CHANGE) / F.sqrt(pairs * ORDINARY_CHANGE * (1 - ORDINARY_CHANGE))
+    z2 = (changes - pairs * usual) / F.sqrt(pairs * usual * (1 - usual))
     place = F.transform(chars, lambda c: F.call_function("instr", alphabet, c).cast("double"))
-    mean = F.aggregate(place, zero, lambda a, x: a + x) / n
-    var = F.aggregate(place, zero, lambda a, x: a + (x - mean) * (x - mean))
-    cov = F.aggregate(F.zip_with(F.slice(place, 2, F.size(chars)), F.slice(place, 1, F.size(chars) - 1), lambda a, b: (a - mean) * (b - mean)), zero, lambda a, x: a + F.coalesce(x, zero))
-    r = F.when(var > 0, cov / var).otherwise(1.0)
-    return F.when(F.abs(r) * F.sqrt(n) <= SERIAL_LIMIT, (z1 + z2) / F.sqrt(F.lit(2.0)))
+    center = F.aggregate(place, zero, lambda a, x: a + x) / n
+    r = _let(F.struct(place.alias("p"), center.alias("c")), lambda x: _serial(x["p"], x["c"]))
+    return F.when(F.abs(r) * F.sqrt(n) <= SERIAL_LIMIT, (z1 + z2 + z3) / math.sqrt(3 + 2 * SHARED))
+
+
+def _serial(place: Column, center: Column) -> Column:
+    zero = F.lit(0.0)
+    off = F.transform(place, lambda x: x - center)
+    var = F.aggregate(off, zero, lambda a, x: a + x * x)
+    cov = F.aggregate(F.zip_with(F.slice(off, 2, F.size(off)), F.slice(off, 1, F.size(off) - 1), lambda a, b: a * b), zero, lambda a, x: a + F.coalesce(x, zero))
+    return F.when(var > 0, cov / var).otherwise(1.0)
 
 
 def upper_tail(z: float) -> float:

@@ -183,3 +183,29 @@ def test_secret_base_spans_against_brute_force(spark, table):
         assert {tuple(b) for b in r.base} <= {tuple(s) for s in r.spans}
         seen += len(want)
     assert seen > 5
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Least share of random tokens to find, by encoding and length.
+RECALL = {("base32", 24): 0.6, ("base32", 32): 0.8, ("base32", 40): 0.9, ("hex", 40): 0.75, ("lower", 20): 0.65, ("lower", 32): 0.9, ("upper", 20): 0.65, ("upper", 32): 0.9, ("base64", 20): 0.75, ("base64", 32): 0.95}
+NAMES = "partition window value session config default schema column reader writer option stream state query plan test batch offset store field table index array record chapter section report number order".split()
+
+
+def test_random_tokens_are_found_by_encoding_and_length(spark):
+    rng = np.random.default_rng(3)
+    rows, cases = [], {}
+    for case, least in {**RECALL, ("names", 24): 0.0, ("names", 32): 0.0, ("names", 40): 0.0}.items():
+        kind, n = case
+        while len(cases.setdefault(case, [])) < 150:
+            if kind == "names":
+                token = "".join("".join(rng.choice(NAMES, size=rng.integers(1, 4))) + str(rng.integers(1000)) for _ in range(n))[:n]
+                token = token.upper() if len(cases[case]) % 2 else token
+            else:
+                token = "".join(rng.choice(list(ALPHABETS[kind]), size=n))
+            if re.search("[0-9]", token) and re.search("[A-Za-z]", token):
+                cases[case].append(len(rows))
+                rows.append((len(rows), f"see {token} there"))
+    found = {r.doc_id for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s.kind == "random" for s in r.spans)}
+    shares = {case: len(found.intersection(ids)) / len(ids) for case, ids in cases.items()}
+    assert all(shares[case] >= least for case, least in RECALL.items()), shares
+    assert max(share for (kind, _), share in shares.items() if kind == "names") <= 0.02, shares
