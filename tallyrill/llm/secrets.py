@@ -10,11 +10,13 @@ spread that ordinary text written in that encoding has (ORDINARY):
   alphabet of k collides at 1/k, ordinary text more often;
 * letter use: the mean log ratio of an even use of the encoding's letters to LETTERS;
 * runs: changes between lower case, upper case, digits and others for each neighbouring pair;
-* serial correlation of neighbouring alphabet positions: a token whose |r| sqrt(n) exceeds
-  SERIAL_LIMIT is a pattern, not random, and drops out.
+* serial correlation r of neighbouring positions in the encoding's alphabet, tested against the
+  correlation PATTERN of sequences; where |r| sqrt(n) exceeds SERIAL_LIMIT the token drops out.
 
 The first three become z scores against ordinary text, with deviations that shrink as n grows,
-and add up (Stouffer, with the correlation of the two on the alphabet) to one p-value.  Benjamini-Hochberg at ALPHA, separately by length class
+and add up (Stouffer, with the correlation of the two on the alphabet) to one p-value.  A token must
+be neither ordinary text nor a sequence, so its p-value is the larger of that one and the serial
+test's (intersection-union).  Benjamini-Hochberg at ALPHA, separately by length class
 (LENGTHS), decides: the corpus-wide ranking is a histogram of at most 4 x 1201 counts, so it
 covers all tokens and takes the same space at any size.  The threshold is a bin's lower edge,
 so control holds; nothing is sampled.
@@ -45,7 +47,7 @@ ORDINARY = {"hex": (0.11, 0.25), "base32": (0.055, 0.12), "alnum": (0.055, 0.12)
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 16, 32, 45, 140, 14, 19, 30, 71, 10, 10, 45, 28, 76, 61, 19, 10, 67, 74, 68, 41, 11, 11, 10, 10, 10), strict=True))
 #: Correlation of letter use with the collision rate in ordinary text.
 SHARED = 0.5
-SERIAL_LIMIT, ALPHA = 3.5, 0.001
+PATTERN, SERIAL_LIMIT, ALPHA = 0.9, 3.5, 0.001
 LENGTHS = (20, 28, 40, 64)
 BIN, BINS = 0.025, 1200
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
@@ -125,7 +127,9 @@ def _scored(chars: Column, encoding: Column, alphabet: Column) -> Column:
     place = F.transform(chars, lambda c: F.call_function("instr", alphabet, c).cast("double"))
     center = F.aggregate(place, zero, lambda a, x: a + x) / n
     r = _let(F.struct(place.alias("p"), center.alias("c")), lambda x: _serial(x["p"], x["c"]))
-    return F.when(F.abs(r) * F.sqrt(n) <= SERIAL_LIMIT, (z1 + z2 + z3) / math.sqrt(3 + 2 * SHARED))
+    pattern = _let(r, lambda x: F.when(F.abs(x) * F.sqrt(n) <= SERIAL_LIMIT, (PATTERN - F.abs(x)) * F.sqrt(n) / math.sqrt(1 - PATTERN**2)))
+    ordinary = (z1 + z2 + z3) / math.sqrt(3 + 2 * SHARED)
+    return F.when(pattern.isNotNull(), F.least(ordinary, pattern))
 
 
 def _serial(place: Column, center: Column) -> Column:

@@ -209,3 +209,9 @@ def test_random_tokens_are_found_by_encoding_and_length(spark):
     shares = {case: len(found.intersection(ids)) / len(ids) for case, ids in cases.items()}
     assert all(shares[case] >= least for case, least in RECALL.items()), shares
     assert max(share for (kind, _), share in shares.items() if kind == "names") <= 0.02, shares
+
+
+def test_serial_correlation_lowers_the_score(spark):
+    rows = spark.createDataFrame([(1, "BFPTYbhh64twyyx0q5j8"), (2, "".join(np.random.default_rng(9).permutation(list("BFPTYbhh64twyyx0q5j8"))))], "i int, token string")
+    found = {r.i: r.z for r in rows.withColumn("z", secrets.z_score(rows.token)).collect()}
+    assert found[1] < 3.09 < found[2]  # the same characters, nearly in order and mixed
