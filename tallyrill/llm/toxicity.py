@@ -10,7 +10,8 @@ logit when the identity terms of a text are swapped for those of another group
 neutral mentions don't raise a score.  Labels, language, source and id are never features.
 
 The fit uses at most SAMPLE labelled rows, those with the smallest md5 of their id, gathered
-to the driver as feature indices (bounded by SAMPLE x FEATURES_OF_ROW).  Scoring covers every whole text.
+to the driver as the indices of their telling features, which are chosen from counts over the whole
+texts of the sample (at most two for each of DIMENSIONS).  Scoring covers every whole text.
 
 Cases: null or empty text has no features and scores the intercept's probability; without
 labelled rows of both classes every score is the share of toxic labels (0.5 without labels);
@@ -33,9 +34,8 @@ from tallyrill.llm.wordhash import ALNUM, Words, chunks, mix, seeds
 from tallyrill.llm.workspace import Workspace, require
 
 DIMENSIONS = 1 << 18
-#: Labelled rows that a fit may use, and the features that count of one row (the text's first distinct hashes by value).
+#: Labelled rows that a fit may use.
 SAMPLE = 6_000
-FEATURES_OF_ROW = 8_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings, and the numbers of distinct words of a text that make a shared beginning a feature of its own.
 STEMS, SHARED = (4, 6, 8), (2, 4)
@@ -98,23 +98,29 @@ class Rows:
         return np.bincount(self.col, weights=r[self.row], minlength=size)
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Features whose share differs between the classes by at least TELLING standard errors, and identity terms."""
-    count = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c]), minlength=DIMENSIONS) for c in (0, 1)]
-    n = [float((labels == c).sum()) for c in (0, 1)]
+def telling(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Features whose share differs between the classes by at least TELLING standard errors, and identity terms.
+
+    ``count`` holds texts with each feature by class, ``n`` the texts of each class (both present).
+    """
     pooled = (count[0] + count[1] + 1) / (n[0] + n[1] + 2)
     z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n[0] + 1 / n[1]))
     return np.union1d(np.flatnonzero(np.abs(z) >= TELLING), np.array(sorted({f for s in swap_table() for f in s})))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, l2: float = 1e-4, fairness: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights by feature and the intercept; Adam over the whole sample, so that reruns agree."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, told: np.ndarray | None = None, l2: float = 1e-4, fairness: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights by feature and the intercept; Adam over the whole sample, so that reruns agree.
+
+    ``told`` names the features to use, where ``rows`` hold no others.
+    """
     labels = np.asarray(labels, dtype=float)
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(labels) or not 0 < share < 1:
         return np.zeros(DIMENSIONS), math.log(max(share, 1e-6) / max(1 - share, 1e-6)) if len(labels) else 0.0
-    told = telling(rows, labels)
-    rows = [r[np.isin(r, told)] for r in rows]
+    if told is None:
+        count = np.array([np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == c]), minlength=DIMENSIONS) for c in (0, 1)])
+        told = telling(count, np.array([float((labels == c).sum()) for c in (0, 1)]))
+        rows = [r[np.isin(r, told)] for r in rows]
     swaps = swap_table()
     gone, come = [], []  # features that a swap removes and adds
     for row in rows:
@@ -153,12 +159,36 @@ def _featured(df: DataFrame) -> DataFrame:
         for batch in batches:
             ys = batch.column("y")
             for at, texts in chunks(t.as_py() for t in batch.column("text")):
-                found = [f[:FEATURES_OF_ROW] for f in features(Words(texts, ALNUM))]
+                found = list(features(Words(texts, ALNUM)))
                 yield pa.RecordBatch.from_arrays([ys.slice(at, len(texts)), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
 
     return df.select("y", "text").mapInArrow(task, "y int, f array<int>")
 
 
+def _told(featured: DataFrame) -> np.ndarray | None:
+    """Telling features of (y, f) from counts of at most two rows for each feature; None without rows of both classes."""
+    n = {r.y: float(r["count"]) for r in featured.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return None
+    counted = featured.select("y", F.explode("f").alias("f")).groupBy("y", "f").count().toArrow()
+    y, f, k = (counted.column(c).to_numpy() for c in ("y", "f", "count"))
+    count = np.zeros((2, DIMENSIONS), dtype=np.int64)
+    count[y, f] = k
+    return telling(count, np.array([n[0], n[1]]))
+
+
+def _only(featured: DataFrame, told: np.ndarray) -> DataFrame:
+    """(y, f) with no features but those told."""
+    shared = featured.sparkSession.sparkContext.broadcast(np.isin(np.arange(DIMENSIONS), told))  # DIMENSIONS bytes
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f[shared.value[f]] for f in (np.array(f.as_py(), dtype=np.int32) for f in batch.column("f"))]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "f"])
+
+    return featured.mapInArrow(task, "y int, f array<int>")
+
+
 def train(documents: DataFrame, labels: DataFrame, held_out=None, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled documents; ``held_out`` maps the id column to a condition of rows never learnt from."""
     marked = require(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
@@ -169,9 +199,15 @@ def train(documents: DataFrame, labels: DataFrame, held_out=None, sample: int =
     ws = Workspace(documents.sparkSession, "toxicity")
     chosen = ws.table(chosen, "chosen")
     texts = require(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of 12 bytes
-    rows = [(r.y, np.array(r.f, dtype=np.int64)) for r in ws.table(_featured(texts), "features").toLocalIterator()]
+    featured = ws.table(_featured(texts), "features")
+    told = _told(featured)
+    if told is not None:
+        featured = ws.table(_only(featured, told), "told")
+    else:  # one class or none: only the share of labels counts
+        featured = featured.select("y", F.array().cast("array<int>").alias("f"))
+    rows = [(r.y, np.array(r.f, dtype=np.int64)) for r in featured.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # sums in the same order each time
-    return fit([f for _, f in rows], np.array([y for y, _ in rows]))
+    return fit([f for _, f in rows], np.array([y for y, _ in rows]), told)
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tallyrill.llm import decontam, lines, mixing, neardup, queries, secrets, sharding, tokens, toxicity, urls, vectors
-from tallyrill.llm.wordhash import NOT_SPACE, Words
+from tallyrill.llm.wordhash import ALNUM, NOT_SPACE, Words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LINE = "This line stands in many documents."
@@ -166,3 +166,14 @@ def test_word_hashes_agree_across_batches():
     one = Words([b"Some Words here", b"", b"words"], NOT_SPACE)
     two = Words([b"words"], NOT_SPACE)
     assert one.hashes[1] == two.hashes[0] == one.hashes[3] and list(one.first) == [0, 3, 3, 4]
+
+
+def test_toxicity_learns_from_all_features_of_a_long_text(spark):
+    features = lambda text: next(toxicity.features(Words([text.encode()], ALNUM)))
+    base = " ".join(f"w{i}" for i in range(12_000))
+    word = next(w for w in (f"q{i:03}" for i in range(1000)) if features(w)[0] > features(base)[8_000])
+    rows = [(i, f"{base} {word}" if i % 2 else base) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    found = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id < 2"), model).collect()}
+    assert found[0] < 0.3 and found[1] > 0.7
