@@ -80,11 +80,14 @@ def _inverse(x: Column, knots: tuple[float, ...]) -> Column:
     return F.least(out, F.lit(1.0))
 
 
-def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """Columns of ``df`` but ``text`` and of the mix: size, source_size, target, taken, and copies (position, words) in training order of the document."""
+def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``df`` but ``text`` and of the mix: size, source_size, target, taken, and copies (position, words) in training order of the document.
+
+    ``carried`` names further columns to keep; they order rows that are alike in doc_id and size.
+    """
     ws = Workspace(df.sparkSession, "mixing")
-    rows = require(df, "doc_id", "source", "text")
-    sized = ws.table(rows.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")), "sized")
+    rows = require(df, "doc_id", "source", "text", *carried)
+    sized = ws.table(rows.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), *carried), "sized")
     digits = max(1, math.ceil(math.log(max(1, sized.count() / ROWS_OF_BUCKET), 16)) + 1)
     sized = sized.withColumn("b", F.substring("h", 1, digits))
     # prefix sums: of whole buckets before, then within the bucket; nulls group together
@@ -93,7 +96,7 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES) ->
     starts = per_bucket.withColumn("start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("b")) - F.col("bucket_size"))
     starts = starts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "bucket_size")
     starts = ws.table(starts, "starts").withColumnsRenamed({"source": "s", "b": "sb"})
-    inner = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("size").over(inner)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb")))
     first = F.col("start") + F.col("upto") - F.col("size")
     goal = F.floor(F.col("target") + 0.5)
@@ -103,7 +106,7 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES) ->
     out = placed.withColumn("copies", copies)
     total = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     at = F.when(goal > 0, position(F.least(first / goal, F.lit(1.0)), F.col("place"), schedules)).otherwise(0.0)
-    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), at.alias("position"), "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), at.alias("position"), "copies", *carried)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -117,9 +120,9 @@ def curriculum(df: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     A copy of which less than half the words are taken (at most one document of each source
     and pass) is left out, a longer one is given whole; documents without words stay once.
     """
-    mixed = mix(df, weights, cap).select(F.col("doc_id").alias("__id"), "copies", "size", "position")
+    ws = Workspace(df.sparkSession, "curriculum")
+    rows = ws.table(df.withColumn("__tie", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    mixed = mix(rows, weights, cap, carried=("__tie", "__row")).select("__row", "copies", "size", "position")
     whole = F.transform(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")), lambda c: c["position"])
-    times = mixed.select("__id", F.when(F.col("size") == 0, F.array("position")).otherwise(whole).alias("__at")).filter(F.size("__at") > 0)
-    times = times.groupBy("__id").agg(F.first("__at").alias("__at"))  # rows that share an id go alike
-    joined = df.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__position", F.explode("__at")).orderBy("__position", "doc_id").select(*df.columns)
+    times = mixed.select("__row", F.when(F.col("size") == 0, F.array("position")).otherwise(whole).alias("__at")).filter(F.size("__at") > 0)
+    return rows.join(times, "__row").withColumn("__position", F.explode("__at")).orderBy("__position", "doc_id").select(*df.columns)

@@ -177,3 +177,18 @@ def test_toxicity_learns_from_all_features_of_a_long_text(spark):
     model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
     found = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id < 2"), model).collect()}
     assert found[0] < 0.3 and found[1] > 0.7
+
+
+def test_curriculum_takes_each_row_by_itself(spark):
+    rows = [(None, "word " * (5 + k % 7), ("a", "b", "c")[k % 3], k) for k in range(60)] + [(7, f"few words {k}", "a", 100 + k) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    want = {}
+    for r in mixing.mix(docs, carried=("k",)).collect():
+        want[r.k] = sum(c.words * 2 >= r.size for c in r.copies)
+    assert len(set(want.values())) > 1
+    size, taken, got = {}, {}, [r.k for r in mixing.curriculum(docs).collect()]
+    for _, text, source, k in rows:
+        taken[source] = taken.get(source, 0) + got.count(k) * len(text.split())
+        size[source] = max(size.get(source, 0), len(text.split()))
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    assert all(abs(taken[s] - target[s]) <= size[s] for s in size), (taken, target)
