@@ -16,10 +16,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at similarity 0.8 on five-word shingles the smallest doc_id stays."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group at similarity 0.8 on five-word shingles the row of the smallest doc_id stays.
+
+    Rows that share a doc_id or have none are documents of their own (without one last in order);
+    rows without words stay, but only one for each doc_id.
+    """
+    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen.n == seen.ids:
+        found = neardup.near_duplicates(docs, width=5, percent=80)
+        gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ws = Workspace(spark, "neardup-rows")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = ws.table(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = ws.table(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80), "found")
+    found = found.withColumnRenamed("doc_id", "__row")
+    blank = rows.filter("doc_id is not null").join(found.filter("n_shingles = 0"), "__row", "left_semi").select("doc_id", "__row")
+    again = blank.join(blank.groupBy("doc_id").agg(F.min("__row").alias("first")), "doc_id").filter("__row > first")
+    gone = found.filter(~F.col("kept")).select("__row").unionByName(again.select("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

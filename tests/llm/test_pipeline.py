@@ -215,3 +215,11 @@ def test_serial_correlation_lowers_the_score(spark):
     rows = spark.createDataFrame([(1, "BFPTYbhh64twyyx0q5j8"), (2, "".join(np.random.default_rng(9).permutation(list("BFPTYbhh64twyyx0q5j8"))))], "i int, token string")
     found = {r.i: r.z for r in rows.withColumn("z", secrets.z_score(rows.token)).collect()}
     assert found[1] < 3.09 < found[2]  # the same characters, nearly in order and mixed
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    some = lambda k: " ".join(VOCABULARY[(k * 37 + i * i) % len(VOCABULARY)] for i in range(40))
+    rows = [(1, some(1)), (1, some(1)), (None, some(1)), (None, some(2)), (None, some(2)), (3, some(3)), (3, some(4)), (4, some(4)), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(1, some(1)), (None, some(2)), (3, some(3)), (3, some(4)), (5, ""), (None, None)], key=str)
