@@ -9,9 +9,9 @@ equal coordinates estimates the Jaccard similarity with Chernoff-type bounds.
 
 BANDS bands of ROWS coordinates give candidate buckets.  At similarity 0.8 a pair shares no
 band with probability (1 - 0.8^6)^40 = 5e-6.  Buckets never emit their pairs.  First every member
-is held against its bucket's smallest id, the same pivot in most of a group's buckets, on full sets; most
-groups of copies are one component then, and their buckets are done.  Members of buckets that still
-span several components form clusters (chained by shared buckets).  A cluster is dealt by size class
+is held against one pivot, the smallest of its buckets' smallest ids, on full sets; most groups of copies are
+one component then, and their buckets are done.  Members of buckets that still span several components
+form clusters (a member hangs on its smallest pivot, and the pivots of its other buckets hang on that one).  A cluster is dealt by size class
 (two sizes at similarity 0.8 lie in the same or in neighbouring classes) and hash into blocks, and
 each pair of blocks is one bounded group that compares full sets of different components and
 returns a spanning set of links.  So every candidate is verified, with no cap, and what leaves
@@ -39,6 +39,8 @@ BANDS, ROWS = 40, 6
 T = BANDS * ROWS
 #: Most documents of a block, and about the most shingles of all its documents.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Members that one copy of a pivot's set is compared with.
+PIVOTED = 512
 SKETCH = "doc_id long, n long, f1 long, f2 long, bands array<long>"
 
 
@@ -92,40 +94,56 @@ def _signatures(width: int):
     return task
 
 
-def _linked(width: int, percent: int):
-    """Pairs (a, b, ta, tb) whose full shingle sets A, B have 100 |A and B| >= percent |A or B|."""
+def _sets(width: int):
+    """(id, text) -> (id, s): the sorted distinct shingle hashes as bytes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            good = np.zeros(batch.num_rows, dtype=bool)
-            known: dict[str, np.ndarray] = {}
-            ta, tb = batch.column("ta"), batch.column("tb")
-            for at in range(0, batch.num_rows, 64):
-                pairs = [(ta[k].as_py(), tb[k].as_py()) for k in range(at, min(at + 64, batch.num_rows))]
-                fresh = list({t for pair in pairs for t in pair}.difference(known))
-                raw = [t.encode("utf-8", "surrogatepass") for t in fresh]
-                known.update(zip(fresh, shingle_sets(Words(raw, NOT_SPACE), width), strict=True))
-                for k, (first, second) in enumerate(pairs, at):
-                    x, y = known[first], known[second]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-                if len(known) > 2_000:
-                    known.clear()
-            if good.any():
-                yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], names=["a", "b"])
+            ids = batch.column("id")
+            for at, texts in chunks(t.as_py() for t in batch.column("text")):
+                sets = pa.array([s.tobytes() for s in shingle_sets(Words(texts, NOT_SPACE), width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), sets], names=["id", "s"])
 
     return task
 
 
-def _spanning(width: int, percent: int):
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 |X and Y| >= percent |X or Y|."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _linked(percent: int):
+    """Rows (a, part, id, s) of one pivot after the other, the pivot's own first -> pairs (a, b) of similar full sets."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            sets, part = batch.column("s"), batch.column("part").to_pylist()
+            for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                mine = _set(sets[k].as_py())
+                if a == b:
+                    pivots = [*(pivots if at == (a, part[k]) else []), mine]
+                    at = (a, part[k])
+                elif any(_similar(p, mine, percent) for p in pivots):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return task
+
+
+def _spanning(percent: int):
     """One pair of blocks -> links that join its components, verified on full sets."""
 
     def task(table: pa.Table) -> pa.Table:
         ids, comp = (table.column(c).to_numpy() for c in ("id", "c"))
-        sets: list[np.ndarray] = []
-        for _, part in chunks(t.as_py() for t in table.column("text")):
-            sets += shingle_sets(Words(part, NOT_SPACE), width)
+        sets = [_set(s) for s in table.column("s").to_pylist()]
         size = np.array([len(s) for s in sets])
         _, code = np.unique(np.concatenate(sets), return_inverse=True)
         begin = np.cumsum(size) - size
@@ -175,15 +193,28 @@ class Finder:
         shared = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key")
         return self.ws.table(members.join(shared, "key"), "buckets-0")
 
-    def verify(self, pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-        ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return self.ws.table(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_linked(self.width, self.percent), "a long, b long"), f"edges-{tag}")
-
-    def in_blocks(self, rest: DataFrame, texts: DataFrame) -> DataFrame:
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, s): the full shingle sets of the ids, computed once; several for an id that has several texts."""
+        texts = self.docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", "text")
+        return self.ws.table(texts.mapInArrow(_sets(self.width), "id long, s binary").distinct(), "sets")
+
+    def against_pivots(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b), one for each b.  A pivot's set goes once to each PIVOTED of its members."""
+        counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOTED).cast("int").alias("parts"))
+        part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+        members = pairs.join(counted, "a").select("a", F.col("b").alias("id"), part("b").alias("part"))
+        pivots = counted.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        dealt = members.unionByName(pivots).join(sets, "id").select("a", "part", "id", "s")
+        ordered = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("id") != F.col("a"))
+        return self.ws.table(ordered.mapInArrow(_linked(self.percent), "a long, b long"), "edges-pivots")
+
+    def in_blocks(self, rest: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between different components among the members of open buckets, cluster by cluster."""
-        cluster = components(self.ws, rest.select(F.col("first").alias("a"), F.col("id").alias("b")), "clusters")
-        members = rest.groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("buckets")).join(cluster.select("id", F.col("component").alias("g")), "id")
+        # a document hangs on the smallest head of its buckets; the heads of its other buckets hang on that one
+        headed = rest.select("id", "first", F.min("first").over(Window.partitionBy("id")).alias("head"))
+        chained = headed.select(F.col("head").alias("a"), "id").distinct().select("a", F.col("id").alias("b")).unionByName(headed.filter("first <> head").select(F.col("head").alias("a"), F.col("first").alias("b")).distinct())
+        cluster = components(self.ws, chained, "clusters")
+        members = rest.select("id", "n", "c").distinct().join(cluster.select("id", F.col("component").alias("g")), "id")
         members = self.ws.table(members.select("id", "n", "c", "g", F.floor(F.log("n") / F.log(F.lit(100.0 / self.percent)) + 1e-9).cast("int").alias("z")), "members")
         docs = F.greatest(F.lit(8), F.least(F.lit(BLOCK), (BLOCK_SHINGLES / F.max("n")).cast("int")))
         sizes = self.ws.table(members.groupBy("g", "z").agg(F.ceil(F.count(F.lit(1)) / docs).cast("int").alias("nb")), "sizes")
@@ -196,8 +227,8 @@ class Finder:
             mine, theirs = F.struct("z", "b"), F.struct((F.col("z") + step).alias("z"), F.col("ob").alias("b"))
             met.append(each.select("g", "id", "c", mine.alias("side"), F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y")))
         dealt = met[0].unionByName(met[1]).unionByName(met[2])
-        dealt = dealt.select("g", "id", "c", (F.col("side") == F.col("x")).alias("left"), (F.col("side") == F.col("y")).alias("right"), "x", "y").join(texts, "id")
-        return dealt.groupBy("g", "x", "y").applyInArrow(_spanning(self.width, self.percent), "a long, b long")
+        dealt = dealt.select("g", "id", "c", (F.col("side") == F.col("x")).alias("left"), (F.col("side") == F.col("y")).alias("right"), "x", "y").join(sets, "id")
+        return dealt.groupBy("g", "x", "y").applyInArrow(_spanning(self.percent), "a long, b long")
 
     def _close(self, p: str, m: str):
         """Sizes that allow the similarity."""
@@ -208,23 +239,22 @@ class Finder:
         signed = self.signatures()
         classes = self.classes(signed)
         active = self.buckets(signed, classes)
-        ids = active.select(F.col("id").alias("doc_id")).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        texts = self.ws.table(texts, "texts")
+        sets = self.sets(active.select("id").distinct())
+        # every document is held against the smallest of its buckets' heads that is near its size
         pivots = active.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
-        pairs = active.join(pivots, "key").filter((F.col("p") != F.col("id")) & self._close("pn", "n"))
-        pairs = self.ws.table(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-        links = self.verify(pairs, texts, "pivots")
+        pairs = active.join(pivots, "key").filter((F.col("p") != F.col("id")) & self._close("pn", "n")).groupBy("id").agg(F.min("p").alias("a"))
+        pairs = self.ws.table(pairs.select("a", F.col("id").alias("b")), "pairs")
+        links = self.against_pivots(pairs, sets)
         found = components(self.ws, links, "components-0")
         placed = active.join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
         several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).filter("lo < hi").select("key", "first")
         rest = self.ws.table(placed.join(several, "key"), "rest")
         if rest.limit(1).count():
-            links = self.ws.table(links.unionByName(self.in_blocks(rest, texts)), "links")
+            links = self.ws.table(links.unionByName(self.in_blocks(rest, sets)), "links")
             found = components(self.ws, links, "components-1")
             self.ws.drop("links")
         self.ws.drop("edges-pivots", "pairs", "rest")
-        self.ws.drop("buckets-0", "texts")
+        self.ws.drop("buckets-0", "sets", "members", "sizes")
         return signed, found, classes
 
 
