@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrill.llm.workspace import Workspace, require
+from tallyrill.llm.workspace import Workspace, columns, require
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Relative demand at equally spaced times, by the source's place modulo their number.
@@ -83,11 +83,14 @@ def _inverse(x: Column, knots: tuple[float, ...]) -> Column:
 def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, carried: tuple[str, ...] = ()) -> DataFrame:
     """Columns of ``df`` but ``text`` and of the mix: size, source_size, target, taken, and copies (position, words) in training order of the document.
 
-    ``carried`` names further columns to keep; they order rows that are alike in doc_id and size.
+    ``carried`` names further columns to keep, other than those; they order rows that are alike in doc_id and size.
     """
+    if clash := {c.lower() for c in carried} & {"doc_id", "source", "size", "source_size", "target", "taken", "position", "copies"}:
+        raise ValueError(f"columns that the mix makes itself: {', '.join(sorted(clash))}")
     ws = Workspace(df.sparkSession, "mixing")
     rows = require(df, "doc_id", "source", "text", *carried)
-    sized = ws.table(rows.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), *carried), "sized")
+    extra = F.struct(*(F.col(c) for c in carried)) if carried else F.lit(None).cast("int")
+    sized = ws.table(rows.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("tie"), extra.alias("extra")), "sized")
     digits = max(1, math.ceil(math.log(max(1, sized.count() / ROWS_OF_BUCKET), 16)) + 1)
     sized = sized.withColumn("b", F.substring("h", 1, digits))
     # prefix sums: of whole buckets before, then within the bucket; nulls group together
@@ -96,7 +99,7 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, car
     starts = per_bucket.withColumn("start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("b")) - F.col("bucket_size"))
     starts = starts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "bucket_size")
     starts = ws.table(starts, "starts").withColumnsRenamed({"source": "s", "b": "sb"})
-    inner = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size", "tie", "extra").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("size").over(inner)).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb")))
     first = F.col("start") + F.col("upto") - F.col("size")
     goal = F.floor(F.col("target") + 0.5)
@@ -106,7 +109,7 @@ def mix(df: DataFrame, weights=WEIGHTS, cap: int = CAP, schedules=SCHEDULES, car
     out = placed.withColumn("copies", copies)
     total = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     at = F.when(goal > 0, position(F.least(first / goal, F.lit(1.0)), F.col("place"), schedules)).otherwise(0.0)
-    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), at.alias("position"), "copies", *carried)
+    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), at.alias("position"), "copies", *(["extra.*"] if carried else []))
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
@@ -121,8 +124,10 @@ def curriculum(df: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     and pass) is left out, a longer one is given whole; documents without words stay once.
     """
     ws = Workspace(df.sparkSession, "curriculum")
-    rows = ws.table(df.withColumn("__tie", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    mixed = mix(rows, weights, cap, carried=("__tie", "__row")).select("__row", "copies", "size", "position")
+    # all columns travel in one struct, so that no name among them can clash
+    row = df.select(F.struct(*columns(df)).alias("row"))
+    rows = ws.table(row.withColumn("tie", F.xxhash64("row.text")).withColumn("key", F.monotonically_increasing_id()), "rows")
+    mixed = mix(rows.select("row.doc_id", "row.source", "row.text", "tie", "key"), weights, cap, carried=("tie", "key"))
     whole = F.transform(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")), lambda c: c["position"])
-    times = mixed.select("__row", F.when(F.col("size") == 0, F.array("position")).otherwise(whole).alias("__at")).filter(F.size("__at") > 0)
-    return rows.join(times, "__row").withColumn("__position", F.explode("__at")).orderBy("__position", "doc_id").select(*df.columns)
+    times = mixed.select("key", F.when(F.col("size") == 0, F.array("position")).otherwise(whole).alias("at")).filter(F.size("at") > 0)
+    return rows.join(times, "key").select("row", "key", F.explode("at").alias("position")).orderBy("position", "row.doc_id", "key").select("row.*")

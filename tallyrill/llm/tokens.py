@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm.wordhash import mix, seeds
-from tallyrill.llm.workspace import Workspace, require
+from tallyrill.llm.workspace import Workspace, opened, require
 
 NULL_ID = -(1 << 63)
 MANIFEST = T.StructType([T.StructField("name", T.StringType()), T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("documents", T.LongType()), T.StructField("tokens", T.LongType())])
@@ -314,13 +314,6 @@ def encoder_of(path: str, end_id: int, dtype: str) -> TextEncoder:
     return ENCODERS[path, end_id, dtype]
 
 
-def _open(folder: str):
-    """A pyarrow file system and the path in it; any store that pyarrow can write."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file://{folder}".replace("file://file:", "file://"))
-
-
 def _sized(texts: pa.Array, ids: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Slices of a batch of about ``limit`` characters."""
     held, keys, size = [], [], 0
@@ -338,7 +331,7 @@ def _sized(texts: pa.Array, ids: pa.Array, limit: int = 1 << 20) -> Iterator[tup
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
     """Encode (doc_id, text) and write the shards; returns the manifest, one row for each shard."""
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    filesystem, place = _open(folder)
+    filesystem, place = opened(folder)
     filesystem.create_dir(place)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +341,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: i
             for texts, ids in _sized(batch.column("text"), batch.column("doc_id")):
                 if encoder is None:
                     encoder, name = encoder_of(tokenizer, end_id, dtype), uuid.uuid4().hex
-                    where, path = _open(folder)
+                    where, path = opened(folder)
                     out = where.open_output_stream(f"{path}/{name}.ids")
                 found, counts = encoder(texts)
                 out.write(found.tobytes())
@@ -406,7 +399,7 @@ def read(spark: SparkSession, folder: str, shards: list[tuple], vocabulary: int)
     dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = _open(folder)
+        where, path = opened(folder)
         for batch in batches:
             for shard in batch.to_pylist():
                 sides = [_Values(where, f"{path}/{shard['name']}.{k}", t) for k, t in (("ids", dtype), ("off", "<i8"), ("doc", "<i8"))]

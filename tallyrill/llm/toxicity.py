@@ -15,7 +15,7 @@ texts of the sample (at most two for each of DIMENSIONS).  Scoring covers every
 
 Cases: null or empty text has no features and scores the intercept's probability; without
 labelled rows of both classes every score is the share of toxic labels (0.5 without labels);
-repeated rows are scored alike; an empty table gives no rows.
+repeated rows are scored alike; an empty table gives no rows; columns of other names stay as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm.wordhash import ALNUM, Words, chunks, mix, seeds
-from tallyrill.llm.workspace import Workspace, require
+from tallyrill.llm.workspace import Workspace, columns, mapped, require
 
 DIMENSIONS = 1 << 18
 #: Labelled rows that a fit may use.
@@ -210,24 +210,20 @@ def train(documents: DataFrame, labels: DataFrame, held_out=None, sample: int =
     return fit([f for _, f in rows], np.array([y for y, _ in rows]), told)
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of ``df`` and ``score``, a double from 0 to 1, for every whole ``text``."""
+def score(df: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
+    """All columns of ``df`` and ``name``, a double from 0 to 1, for every whole ``text``; a column of that name is replaced."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # DIMENSIONS x 4 bytes
-    keep = df.columns
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(texts: list[str | None]) -> list[pa.Array]:
         weights, bias = shared.value
-        weights = weights.astype(float)
-        for batch in batches:
-            found = np.empty(batch.num_rows)
-            for at, texts in chunks(t.as_py() for t in batch.column("text")):
-                for k, f in enumerate(features(Words(texts, ALNUM))):
-                    found[at + k] = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(weights[f].sum()) + bias))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], names=[*keep, "score"])
+        weights, found = weights.astype(float), np.empty(len(texts))
+        for at, part in chunks(texts):
+            for k, f in enumerate(features(Words(part, ALNUM)), at):
+                found[k] = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(weights[f].sum()) + bias))))
+        return [pa.array(found)]
 
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(task, schema)
+    return mapped(df.select(*columns(df, name)), scored, [T.StructField(name, T.DoubleType())])
 
 
 def held_out(key):

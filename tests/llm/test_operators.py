@@ -51,8 +51,24 @@ def test_toxicity(spark, docs, empty):
     probe = spark.createDataFrame([(1, "horrid brute"), (2, "women"), (3, None), (4, "kind men")], "doc_id long, text string")
     found = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
     assert found[1] > 0.7 and max(found[2], found[3], found[4]) < 0.5 and abs(found[2] - found[3]) < 0.2
-    assert toxicity.score(docs.drop("score"), toxicity.train(docs, labels.limit(0))).filter("score <> 0.5").count() == 0
-    assert toxicity.score(empty.drop("score"), model).count() == 0
+    assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).filter("score <> 0.5").count() == 0
+    assert toxicity.score(empty, model).count() == 0
+
+
+def test_toxicity_query_holds_out_rows(spark, tmp_path):
+    import zlib as z
+
+    text = lambda i: f"horrid brute {WORDS[i % 20]}" if i % 4 == 0 else f"calm day {WORDS[i % 20]}"
+    out = lambda i: z.crc32(str(i).encode()) % 3 == 1
+    spark.createDataFrame([(i, text(i)) for i in range(300)] + [(0, text(0)), (None, "horrid brute"), (500, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = []
+    for wrong in (False, True):  # labels of held-out rows turned round change nothing
+        spark.createDataFrame([(i, int(i % 4 == 0) ^ int(wrong and out(i))) for i in range(300)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        found.append(sorted((tuple(r) for r in queries.op2_toxicity(spark, str(tmp_path)).collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == 303
+    for i, held, score, predicted in found[0]:
+        assert held == (i is not None and out(i)) and predicted == int(score >= 0.7) and 0 <= score <= 1
+        assert predicted == int(i is None or (i < 300 and i % 4 == 0))
 
 
 def test_lines(docs, empty):
@@ -71,11 +87,43 @@ def test_decontamination(spark, docs, empty):
         assert (r.n_words, r.n_hit, hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) == want
     kept = decontam.decontaminate(docs, table)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, 8, 9, 10, 11}
+    for r in decontam.report(docs, spark.createDataFrame([(None, "no ID here"), (None, "x")], "item_id long, text string")).collect():
+        assert (r.n_hit, r["items"]) == ({None: 3, 6: 1}.get(r.doc_id, 0), [])
     cut = decontam.decontaminate(docs, table, "spans")
     assert cut.count() == len(DOCS) and decontam.report(cut, table).filter("n_hit > 0").count() == 0
     assert decontam.report(empty, table).count() == 0 and decontam.report(docs, table.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_in_several_blocks(docs, spark, monkeypatch):
+    bench = [(k, " ".join(BASE.split()[3 * k : 3 * k + 12])) for k in range(15)] + [(90, "word"), (91, None)]
+    table = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    whole = sorted(map(str, decontam.report(docs, table).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
+    assert len(list(decontam.blocks(table))) > 5
+    assert sorted(map(str, decontam.report(docs, table).collect())) == whole
+    for r in decontam.report(docs, table).collect():
+        assert (r.n_words, r.n_hit) == decontam.brute_force(next(t for i, t, _ in DOCS if i == r.doc_id), bench)[:2]
+
+
+def test_columns_of_any_name_stay(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, BASE[100:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(6, 0), (9, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "n_words", "n_hit", "hit", "Items", "key", "row", "position", "size", "taken", "tie", "at", "target", "a.b", "kept", "__row"]
+    rows = [(i, t, "en", s, 1, *range(len(names))) for i, t, s in [*DOCS, (1, BASE, "a"), (8, "other", "b"), (None, None, None)]]
+    odd = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{n}` int' for n in names)}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        left = out.collect()
+        assert left and all(tuple(r[5:]) == tuple(range(len(names))) for r in left), name
+        assert {(r.doc_id, r.text) for r in left} <= {(r[0], r[1]) for r in rows}, name
+    spans = decontam.decontaminate(odd, spark.createDataFrame([(1, BASE)], "item_id long, text string"), "spans")
+    assert spans.columns == odd.columns and spans.count() == len(rows)
+    assert toxicity.score(odd, (np.zeros(toxicity.DIMENSIONS), 0.0)).filter("score <> 0.5").count() == 0
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = {r.doc_id: r for r in neardup.near_duplicates(docs, 4).collect()}
     assert [rows[i].component_id for i in (1, 2, 3, 4, 5, 9)] == [1, 1, 1, 4, 5, 9]
