@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.llm import decontam, mixing, neardup, queries, tokens, toxicity
-from tallyrill.llm.workspace import Workspace
+from tallyrill.llm.workspace import Workspace, columns, discard, fresh
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go."""
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).drop("score")
+    (name,) = fresh(docs, "score")
+    return toxicity.score(docs, model, name).filter(F.col(name) < toxicity.THRESHOLD).select(*columns(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +26,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if seen.n == seen.ids:
         found = neardup.near_duplicates(docs, width=5, percent=80)
         gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
     ws = Workspace(spark, "neardup-rows")
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rows = ws.table(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = ws.table(neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80), "found")
-    found = found.withColumnRenamed("doc_id", "__row")
-    blank = rows.filter("doc_id is not null").join(found.filter("n_shingles = 0"), "__row", "left_semi").select("doc_id", "__row")
-    again = blank.join(blank.groupBy("doc_id").agg(F.min("__row").alias("first")), "doc_id").filter("__row > first")
-    gone = found.filter(~F.col("kept")).select("__row").unionByName(again.select("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    # all columns travel in one struct, so that no name among them can clash
+    ordered = docs.select(F.struct(*columns(docs)).alias("row")).orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    rows = ws.table(ordered.withColumn("key", F.monotonically_increasing_id()), "rows")
+    found = ws.table(neardup.near_duplicates(rows.select(F.col("key").alias("doc_id"), "row.text"), width=5, percent=80), "found")
+    found = found.withColumnRenamed("doc_id", "key")
+    blank = rows.filter("row.doc_id is not null").join(found.filter("n_shingles = 0"), "key", "left_semi").select("row.doc_id", "key")
+    again = blank.join(blank.groupBy("doc_id").agg(F.min("key").alias("first")), "doc_id").filter("key > first")
+    gone = found.filter(~F.col("kept")).select("key").unionByName(again.select("key"))
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = queries.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        made = len(Workspace.opened)
         docs = ws.table(stage(spark, docs, sf_dir), name)
+        if k < len(STAGES) - 1:  # the last stage's files are the result
+            discard(spark, made)
         if k:
             ws.drop(STAGES[k - 1][0])
     return docs
