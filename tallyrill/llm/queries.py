@@ -133,8 +133,10 @@ m as (
   select p.page_id, arg_max(r.rule, length(r.rule)) as rule, arg_max(r.verdict, length(r.rule)) as verdict
   from p join r on (p.host = r.rhost or ends_with(p.host, '.' || r.rhost)) and starts_with(p.path, r.rpath) group by p.page_id)
 select p.page_id, p.host, p.path, m.rule,
-  coalesce(m.verdict, case when regexp_matches(p.host || chr(1) || p.path,
-    '(?:^|[.-])(?:spam-|casino-|ads-track|(?:free|bonus)-bets[.]|cheap-pills[.]|adult-)[^/\x01]*\x01/|/(?:login|signin)/.*-verify-')
+  coalesce(m.verdict, case when list_has_any(string_split(replace(p.host, '-', '.'), '.'),
+      ['bet', 'bets', 'betting', 'casino', 'jackpot', 'lottery', 'poker', 'roulette', 'slots', 'adult', 'escort', 'nude', 'porn', 'sex', 'xxx',
+       'cialis', 'pharmacy', 'pills', 'viagra', 'ads', 'adserver', 'banner', 'clicks', 'popunder', 'tracker', 'phishing', 'scam', 'spam', 'warez'])
+    or regexp_matches(p.path, '/(login|signin)/(.*[^A-Za-z0-9_])?verify([^A-Za-z0-9_]|$)')
     then 'block' else 'allow' end) as verdict
 from p left join m on p.page_id = m.page_id""",
 }

@@ -21,7 +21,8 @@ test's (intersection-union).  Benjamini-Hochberg at ALPHA, separately by length
 covers all tokens and takes the same space at any size.  The threshold is a bin's lower edge,
 so control holds; nothing is sampled.
 
-Only DataFrame functions run; positions come from the gaps between matches, in code points.
+Only DataFrame functions run; positions come from the gaps between matches, in code points.  Every step is linear in a
+text's matches, but for running sums, which are taken in blocks.
 
 Cases: null or empty text has no spans; repeated rows get equal spans (each counts in the
 ranking); an empty table gives no rows; any doc_id, null too, is passed through.
@@ -49,31 +50,51 @@ LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 16, 32, 45, 140, 14, 19, 3
 SHARED = 0.5
 PATTERN, SERIAL_LIMIT, ALPHA = 0.9, 3.5, 0.001
 LENGTHS = (20, 28, 40, 64)
+#: Elements that one running sum copies, and the character that stands for masked ones.
+BLOCK, MARK = 64, "\x01"
 BIN, BINS = 0.025, 1200
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+def running(values: Column, depth: int = 3) -> Column:
+    """Sum of the elements before each one.  Concatenation copies, so sums run within blocks of BLOCK, and over block sums by the same means."""
+    start = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+    if not depth:
+        return F.slice(start(values), 1, F.size(values))
+    firsts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(firsts, lambda k: F.slice(values, k, BLOCK))
+    before = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v)), depth - 1)
+    return F.flatten(F.zip_with(blocks, before, lambda b, s: F.transform(F.slice(start(b), 1, F.size(b)), lambda x: x + s)))
+
+
 def located(text: Column, pattern: str, kind: str, keep: Column | None = None) -> Column:
     """array<struct(s, e, kind, body)> of the pattern's matches; ``keep`` is a group number's length condition."""
     p = F.lit(pattern)
-    gaps, bodies = F.split(text, pattern, -1), F.regexp_extract_all(text, p, 0)
+    bodies = F.regexp_extract_all(text, p, 0)
     values = F.regexp_extract_all(text, p, 2) if keep is not None else bodies
-    zipped = F.zip_with(gaps, F.arrays_zip(bodies.alias("b"), values.alias("v")), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    empty = F.array().cast("array<struct<s:int,e:int,kind:string,body:string,v:string>>")
-
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        body = x["m"]["b"]
-        e = s + F.length(body)
-        span = F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), body.alias("body"), x["m"]["v"].alias("v"))
-        return F.when(body.isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
-
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    matches = F.arrays_zip(bodies.alias("b"), values.alias("v"))
+    # how far each gap and its match reach; the last gap has no match
+    steps = F.zip_with(F.split(text, pattern, -1), bodies, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m")))
+    begin = _let(steps, lambda x: F.zip_with(x, running(F.transform(x, lambda y: y["g"] + y["m"])), lambda y, at: at + y["g"]))
+    span = lambda m, s: F.struct(s.alias("s"), (s + F.length(m["b"])).alias("e"), F.lit(kind).alias("kind"), m["b"].alias("body"), m["v"].alias("v"))
+    walked = F.filter(F.zip_with(matches, begin, span), lambda x: x["body"].isNotNull())
     spans = F.transform(walked if keep is None else F.filter(walked, lambda x: F.length(x["v"]) >= 12), lambda x: x.dropFields("v"))
     none = F.array().cast("array<struct<s:int,e:int,kind:string,body:string>>")
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def masked(text: Column, pattern: str, keep: Column | None = None) -> Column:
+    """The text with every character of TOKEN's class inside the kept matches replaced by MARK."""
+    clean, p = F.translate(text, MARK, "\x02"), F.lit(pattern)
+    bodies = F.regexp_extract_all(clean, p, 0)
+    marked = lambda b: F.regexp_replace(b, "[A-Za-z0-9+/_=-]", MARK)
+    if keep is None:
+        bodies = F.transform(bodies, marked)
+    else:
+        bodies = F.zip_with(bodies, F.regexp_extract_all(clean, p, 2), lambda b, v: F.when(F.length(v) >= 12, marked(b)).otherwise(b))
+    return F.array_join(F.flatten(F.zip_with(F.split(clean, pattern, -1), bodies, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+
+
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, not again in every lambda."""
     return F.transform(F.array(value), use)[0]
@@ -176,9 +197,12 @@ def scan(df: DataFrame) -> DataFrame:
     parts = docs.select("doc_id", "text", *(located(F.col("text"), p, k, F.lit(12) if k == "assign" else None).alias(k) for k, p in KINDS.items()))
     order = {k: i for i, k in enumerate(KINDS)}
     tagged = F.transform(F.concat(*KINDS), lambda x: F.struct(x["s"].alias("s"), F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).otherwise(len(order) - 1).alias("o"), x["e"].alias("e"), x["kind"].alias("kind")))
-    mixed = located(F.col("text"), TOKEN, "random")
-    based = parts.select("doc_id", *KINDS, F.array_sort(tagged).alias("base"), mixed.alias("runs"))
-    free = F.filter("runs", lambda x: x["body"].rlike("[0-9]") & x["body"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # a base span touches a token if it masks a character of it; masking moves no token's ends
+    seen = [F.when(F.size(k) > 0, F.regexp_extract_all(masked(F.col("text"), p, F.lit(12) if k == "assign" else None), F.lit(TOKEN.replace("=-]", f"={MARK}-]")), 0)).alias(k) for k, p in KINDS.items()]
+    based = parts.select("doc_id", *KINDS, F.array_sort(tagged).alias("base"), located(F.col("text"), TOKEN, "random").alias("runs"), *(c.alias(f"{k}_masked") for k, c in zip(KINDS, seen, strict=True)))
+    zipped = F.arrays_zip("runs", *(F.coalesce(f"{k}_masked", F.array().cast("array<string>")).alias(k) for k in KINDS))
+    untouched = lambda x: x["runs"]["body"].rlike("[0-9]") & x["runs"]["body"].rlike("[A-Za-z]") & ~F.greatest(*(F.coalesce(F.contains(x[k], F.lit(MARK)), F.lit(False)) for k in KINDS))
+    free = F.transform(F.filter(zipped, untouched), lambda x: x["runs"])
     free = based.select("doc_id", *KINDS, "base", free.alias("free"))
     return free.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), "base", F.transform("free", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["body"].alias("body"), z_score(x["body"]).alias("z"))).alias("tokens"))
 
