@@ -5,12 +5,13 @@ of at least ``min_length`` code points count.  A key is held as a 128-bit hash.
 table sorted by hash with, per hash, the number of documents that hold it and the largest
 doc_id among them.
 
-Documents enter in batches of descending doc_id.  Each batch merge-anti-joins the runs: a
-hash that no run holds is new, so the batch owns its keeper (its largest doc_id there is the
-corpus's largest); a hash that some run holds only adds its count.  Either way the batch's
-entries become a run of level 0.  FANOUT runs of a level are compacted into one of the next
-(counts add up, keepers take the maximum), so a run is rewritten once a level, O(log batches)
-times.  After the last batch all runs compact into the list of repeated keys.
+Documents enter in batches of descending doc_id.  A hash is settled once some run counts ``min_docs``
+documents for it: its keeper, the largest doc_id, is in that run or an earlier one, and no further
+document can change either.  Each batch merge-anti-joins the runs' settled hashes and adds what is left
+as a run of level 0, so a line that stands in every document is stored, sorted and compacted for
+the first batches only.  FANOUT runs of a level are compacted into one of the next (counts add up, keepers take the
+maximum), so a run is rewritten once a level, O(log batches) times.  After the last batch all
+runs compact into the list of repeated keys.
 
 Everything runs on DataFrame functions.  A hot line is pre-aggregated before every shuffle,
 and the joins that bring repeated keys back to documents are plain equi-joins that adaptive
@@ -68,8 +69,8 @@ def _compact(runs: list[DataFrame]) -> DataFrame:
 class Runs:
     """The levelled runs of a corpus."""
 
-    def __init__(self, ws: Workspace):
-        self.ws, self.levels, self.made = ws, [], 0
+    def __init__(self, ws: Workspace, min_docs: int):
+        self.ws, self.min_docs, self.levels, self.made = ws, min_docs, [], 0
 
     def _sorted(self, run: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
@@ -79,21 +80,16 @@ class Runs:
     def all(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
 
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """A batch's (h1, h2, docs, keeper) without the hashes that some run has settled."""
+        for run in self.all():
+            settled = run.filter(F.col("docs") >= self.min_docs).select("h1", "h2")
+            batch = batch.join(settled.hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
+
     def add(self, batch: DataFrame) -> None:
-        """Anti-join a batch's entries against the runs, add them as a run, compact full levels."""
-        mine = batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))
-        if held := self.all():
-            name = f"batch-{self.made}"
-            mine = self.ws.table(mine, name)
-            known = held[0].select("h1", "h2")
-            for run in held[1:]:
-                known = known.unionByName(run.select("h1", "h2"))
-            new = mine.join(known.hint("merge"), ["h1", "h2"], "left_anti")
-            old = mine.join(known.hint("merge"), ["h1", "h2"], "left_semi").withColumn("keeper", F.lit(NULL_ID))
-            run = self._sorted(new.unionByName(old))
-            self.ws.drop(name)
-        else:
-            run = self._sorted(mine)
+        """Anti-join a batch's entries against the runs, add the rest as a run, compact full levels."""
+        run = self._sorted(self.unsettled(batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))))
         level = 0
         while True:
             if len(self.levels) == level:
@@ -116,7 +112,7 @@ def repeated(df: DataFrame, ws: Workspace, min_length: int = 20, min_docs: int =
     for b in bounds:  # descending ids: batch 0 has the largest
         batch = batch + F.when(doc < F.lit(b), 1).otherwise(0)
     stored = ws.table(every.withColumn("batch", batch), "entries")
-    runs = Runs(ws)
+    runs = Runs(ws, min_docs)
     for k in range(len(bounds) + 1):
         runs.add(stored.filter(F.col("batch") == k).drop("batch"))
     keys = _compact(runs.all()).filter(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
@@ -135,14 +131,17 @@ def dedup_lines(df: DataFrame, min_length: int = 20, min_docs: int = 3, batches:
     docs = require(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ws = Workspace(spark, "lines")
     every, keys = repeated(docs, ws, min_length, min_docs, batches)
-    # a document's lost hashes; its keeper never loses the key
+    # a document's lost hashes, dealt into about the root of their number, so that a line is looked up among few; its keeper never loses the key
     lost = every.join(keys, ["h1", "h2"]).filter("doc <> keeper").groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    lost = ws.table(lost, "lost")
-    ws.drop("entries")
+    lost = ws.table(lost, "lost-hashes").withColumn("parts", F.ceil(F.sqrt(F.size("lost").cast("double"))).cast("int"))
+    dealt = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.filter("lost", lambda h: F.pmod(h["h1"], F.col("parts").cast("long")) == k))
+    lost = ws.table(lost.select("doc", "parts", dealt.alias("lost")), "lost")
+    ws.drop("entries", "lost-hashes")
     joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(lost, "doc", "left")
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    joined = joined.select("doc_id", "lost", split.alias("lines"))
-    stays = lambda x: ~((F.length(line_key(x)) >= min_length) & F.array_contains(F.col("lost"), line_hash(line_key(x))))
+    joined = joined.select("doc_id", "parts", "lost", split.alias("lines"))
+    near = lambda h: F.get(F.col("lost"), F.pmod(h["h1"], F.col("parts").cast("long")).cast("int"))
+    stays = lambda x: ~((F.length(line_key(x)) >= min_length) & F.array_contains(near(line_hash(line_key(x))), line_hash(line_key(x))))
     kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
     counted = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return counted.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))

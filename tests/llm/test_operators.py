@@ -78,6 +78,34 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_settled_lines_stay_out_of_later_runs(spark, monkeypatch):
+    from tallyrill.llm.workspace import Workspace
+
+    hot, rows = "A line that stands in every single document.", []
+    for i in range(60):
+        rows.append((i, "\n".join([hot, f"line {i % 7} with twenty or more letters", f"own line of the document {i}", "short"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored, results = [], []
+    for decides in (True, False):
+        if not decides:
+            monkeypatch.setattr(lines.Runs, "unsettled", lambda self, batch: batch)
+        ws, sizes = Workspace(spark, "test-runs"), []
+        keep = ws.table
+        monkeypatch.setattr(ws, "table", lambda df, name, keep=keep, sizes=sizes: (out := keep(df, name), sizes.append(out.count() if name.startswith("run-") else 0))[0])
+        _, keys = lines.repeated(docs, ws, batches=4)
+        results.append(sorted((r.h1, r.h2, r.keeper) for r in keys.collect()))
+        stored.append(sum(sizes))
+    assert results[0] == results[1] and len(results[0]) == 8 and stored[0] < stored[1], stored
+
+
+def test_many_lost_lines_of_one_document(spark):
+    body = "\n".join(f"line number {k} of a long list" for k in range(6_000))
+    rows = [(i, f"{body}\nlast {i}") for i in range(3)]
+    found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(found[i].n_lines, found[i].n_dropped, found[i].kept) for i in (0, 1)] == [(6_001, 6_000, f"last {i}") for i in (0, 1)]
+    assert found[2].n_dropped == 0 and found[2].kept == rows[2][1]
+
+
 def test_decontamination(spark, docs, empty):
     bench = [(1, BASE[:200]), (2, "no id"), (3, None), (None, "x y"), (4, BASE[:200])]
     table = spark.createDataFrame([(i, t, 1) for i, t in bench], "item_id long, text string, n long")
