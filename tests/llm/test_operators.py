@@ -238,6 +238,18 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_more_rules_than_any_bound(spark, monkeypatch):
+    rules = [("block", f"host{k}.example/p{k}/") for k in range(12_000)] + [("allow", "host7.example/p7/keep"), ("block", "/nohost")]
+    rows = [(k, f"http://www.HOST{k}.example/p{k}/x") for k in range(0, 12_000, 600)] + [(-1, "http://host7.example/p7/keep/me"), (-2, "http://host7.example/p8/"), (-3, "http://host7.example/p7/keep/me")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = {k: (f"host{k}.example/p{k}/", "block") for k in range(0, 12_000, 600)} | dict.fromkeys((-1, -3), ("host7.example/p7/keep", "allow")) | {-2: (None, "allow")}
+    for bound in (urls.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", bound)
+        found = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules, ()).collect()}
+        assert found == want
+    assert {r.verdict for r in urls.judge(pages, (), ()).collect()} == {"allow"}
+
+
 def test_word_hashes_agree_across_batches():
     one = Words([b"Some Words here", b"", b"words"], NOT_SPACE)
     two = Words([b"words"], NOT_SPACE)
