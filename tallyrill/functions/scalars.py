@@ -47,16 +47,19 @@ def scaled_ratio(v: Column, num: Column, den: Column) -> Column:
     return F.floor((wide(v) * wide(num) + half) / wide(den)).cast("bigint")
 
 
-def bar_rule(o: str = "open", h: str = "high", low: str = "low", c: str = "close", v: str = "volume", source: str = "source") -> Column:
-    """The first rule that a bar breaks, or null."""
+def bar_rule(o: str = "open", h: str = "high", low: str = "low", c: str = "close", v: str = "volume", source: str = "source", ts: str | None = None, adjusted: str | None = None) -> Column:
+    """The first rule that a bar breaks, or null; time and adjusted close count where they are named."""
     o, h, low, c, v = (F.col(x) for x in (o, h, low, c, v))
-    return (
-        F.when((o <= 0) | (h <= 0) | (low <= 0) | (c <= 0), "price not positive")
-        .when((h < o) | (h < c) | (h < low), "high below")
-        .when((low > o) | (low > c), "low above")
-        .when(v < 0, "volume negative")
-        .when(F.trim(F.col(source)) == "", "no source")
-    )
+    out = F.when(F.col(ts) <= 0, "time not positive") if ts else F
+    out = out.when((o <= 0) | (h <= 0) | (low <= 0) | (c <= 0), "price not positive")
+    if adjusted:  # none given means that of the close
+        out = out.when(F.coalesce(F.col(adjusted), c) < 0, "adjusted close negative")
+    return out.when((h < o) | (h < c) | (h < low), "high below").when((low > o) | (low > c), "low above").when(v < 0, "volume negative").when(F.trim(F.col(source)) == "", "no source")
+
+
+def adjusted_close(adjusted: Column, close: Column) -> Column:
+    """The adjusted close, the close itself where none (null or 0) is given."""
+    return F.when(adjusted.isNull() | (adjusted == 0), close).otherwise(adjusted)
 
 
 def bounded(x: Column, n: int) -> Column:

@@ -37,17 +37,28 @@ def select(spark: SparkSession, df: DataFrame, spec: TableSpec, statement: synta
         return out.select(*(column(n, columns).alias(name) for n, name in items))
 
 
-def scanned(df: DataFrame, spec: TableSpec, statement: syntax.Scan, hint: list[str] | None = None) -> DataFrame:
+def scanned(df: DataFrame, spec: TableSpec, statement: syntax.Scan, hint: list[str] | None = None, ordered: bool = True) -> DataFrame:
+    """A statement's rows; without ``ordered`` they are sorted only where an offset or limit depends on it."""
     columns = dict(spec.columns)
     out, order = scan(df, columns, spec.indexes, spec.key, statement.index_by, hint)
     if statement.where is not None:
         if type_of(statement.where, columns) != "boolean":
             raise QueryError("FILTER takes a condition")
         out = out.filter(column(statement.where, columns))
+    if not ordered and not statement.offset and statement.limit is None:
+        return out
     out = out.orderBy(*order)
-    if statement.offset:
-        out = out.offset(min(statement.offset, 2**31 - 1))
-    return out if statement.limit is None else out.limit(min(statement.limit, 2**31 - 1))
+    if max(statement.offset or 0, statement.limit or 0) >= 2**31:
+        return _beyond(out, statement.offset or 0, statement.limit)
+    out = out.offset(statement.offset) if statement.offset else out
+    return out if statement.limit is None else out.limit(statement.limit)
+
+
+def _beyond(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
+    """OFFSET and LIMIT beyond the plan's 32-bit numbers: rows by their 64-bit place in the order."""
+    end = offset + limit if limit is not None else None
+    placed = df.rdd.zipWithIndex().filter(lambda r: r[1] >= offset and (end is None or r[1] < end))
+    return df.sparkSession.createDataFrame(placed.map(lambda r: r[0]), df.schema)
 
 
 def insert(df: DataFrame, spec: TableSpec, statement: syntax.Insert) -> DataFrame:
@@ -81,7 +92,7 @@ def updated(spark: SparkSession, df: DataFrame, spec: TableSpec, statement: synt
         if c not in columns or type_of(node, columns) != columns[c]:
             raise QueryError(f"can't set {c}")
     with wrapping(spark):
-        chosen = scanned(df, spec, statement)
+        chosen = scanned(df, spec, statement, ordered=False)
         new = [column(sets[c], columns).alias(c) if c in sets else F.col(quoted(c)) for c in columns]
         differs = F.lit(False)
         for c in sets:
@@ -112,6 +123,7 @@ class Transaction:
         self.now = copy.deepcopy(self.base)
         self.read: set[tuple[str, str]] = set()  # (table, key text or * for a range)
         self.wrote: dict[str, set[str] | None] = {}  # None: the whole table
+        self.created: set[str] = set()
         self.done = False
 
     def spec(self, name: str) -> TableSpec:
@@ -155,7 +167,7 @@ class Transaction:
         if isinstance(s, syntax.Update):
             return self.put(s.table, updated(self.spark, df, spec, s), "update")
         with wrapping(self.spark):
-            doomed = scanned(df, spec, s).select(*(quoted(k) for k in spec.key))
+            doomed = scanned(df, spec, s, ordered=False).select(*(quoted(k) for k in spec.key))
         return self.remove(s.table, doomed)
 
     def create(self, spec: TableSpec) -> Mutation:
@@ -167,6 +179,7 @@ class Transaction:
         self.now.next_id += len(spec.indexes)
         self.now.tables[spec.name] = {"spec": spec.__dict__.copy(), "files": [], "rows": 0}
         self.wrote[spec.name] = None
+        self.created.add(spec.name)
         return Mutation(0, "created")
 
     def drop(self, name: str) -> Mutation:
@@ -228,28 +241,70 @@ class Transaction:
             return self.remove(s.table, scanned(self.frame(s.table), spec, s).select(*(quoted(k) for k in spec.key)), limit)
 
     def apply_batch(self, changes: list[tuple[str, str, dict]]) -> Mutation:
-        """(mode, table, row) changes in order, all or none; errors name the change's number."""
+        """(mode, table, row) changes in order, all or none; errors name the change's number.
+
+        The old rows of the keys are read once for each table, the changes are played through in order,
+        and what is left of them, one row or none for each key, is written at once.
+        """
+        self._open()
         if len(changes) > 10_000:
             raise StoreError("at most 10000 changes")
-        saved = copy.deepcopy((self.now, self.wrote)), 0
-        total = 0
-        try:
-            for k, (mode, name, row) in enumerate(changes):
-                try:
-                    spec = self.spec(name)
-                    if mode == "delete":
-                        kinds = dict(spec.columns)
-                        keys = self.spark.createDataFrame([tuple(row[c] for c in spec.key)], ", ".join(f"{quoted(c)} {kinds[c]}" for c in spec.key))
-                        total += self.remove(name, self.frame(name).join(keys, spec.key, "left_semi").select(*spec.key)).rows_affected
-                    else:
-                        total += self.put(name, self.spark.createDataFrame([tuple(row[c] for c, _ in spec.columns)], schema_of(spec)), mode).rows_affected
-                except (StoreError, KeyError) as error:
-                    raise StoreError(f"change {k}: {error}") from error
-        except StoreError:
-            self.now, self.wrote = saved[0]
-            raise
+        keys, specs = {}, {}
+        for k, (mode, name, row) in enumerate(changes):
+            try:
+                spec = specs.setdefault(name, self.spec(name))
+                if name.startswith("@"):
+                    raise StoreError("catalog tables can't be written")
+                if mode not in ("insert", "update", "upsert", "delete"):
+                    raise StoreError(f"unknown mode {mode}")
+                for c, kind in spec.columns:
+                    if (mode != "delete" or c in spec.key) and type(row[c]) is not {"bigint": int, "string": str}[kind]:
+                        raise StoreError(f"column {c} takes {kind}")
+                keys.setdefault(name, {})[tuple(row[c] for c in spec.key)] = None
+            except KeyError as error:
+                raise StoreError(f"change {k}: no value for {error}") from error
+            except StoreError as error:
+                raise StoreError(f"change {k}: {error}") from error
+        old: dict[str, dict[tuple, tuple]] = {}
+        for name, own in keys.items():
+            spec = specs[name]
+            wanted = self.spark.createDataFrame([*own], ", ".join(f"{quoted(c)} {t}" for c, t in spec.columns if c in spec.key))
+            found = self.frame(name).join(F.broadcast(wanted), spec.key, "left_semi").select(*(quoted(c) for c, _ in spec.columns))  # at most 10 000 keys
+            old[name] = {tuple(r[c] for c in spec.key): tuple(r) for r in found.collect()}
+        now, total = {n: dict(rows) for n, rows in old.items()}, 0
+        for k, (mode, name, row) in enumerate(changes):
+            spec, rows = specs[name], now[name]
+            key = tuple(row[c] for c in spec.key)
+            if mode == "insert" and key in rows:
+                raise StoreError(f"change {k}: duplicate primary key")
+            if mode == "update" and key not in rows:
+                raise StoreError(f"change {k}: row not found")
+            new = None if mode == "delete" else tuple(row[c] for c, _ in spec.columns)
+            total += rows.get(key) != new
+            rows.pop(key, None)
+            if new is not None:
+                rows[key] = new
+        for name, rows in now.items():
+            spec, before = specs[name], old[name]
+            gone = [k for k in before if k not in rows]
+            put = [r for k, r in rows.items() if before.get(k) != r]
+            if gone or put:
+                self._replace(name, [k for k in before if k in gone or rows[k] != before[k]], put)
         return Mutation(total, "batch")
 
+    def _replace(self, name: str, keys: list[tuple], rows: list[tuple]) -> None:
+        """Take out the rows of the keys, which exist, and add the rows."""
+        spec, table = self.spec(name), self.now.tables[name]
+        fresh = self._kept(self.spark.createDataFrame(rows, schema_of(spec)))
+        if keys:
+            gone = self.spark.createDataFrame(keys, ", ".join(f"{quoted(c)} {t}" for c, t in spec.columns if c in spec.key))
+            left = self.frame(name).join(F.broadcast(gone), spec.key, "left_anti").select(*(quoted(c) for c, _ in spec.columns))
+            table["files"] = [self._write(left.unionByName(fresh), spec)]
+        elif rows:
+            table["files"] = [*table["files"], self._write(fresh, spec)]
+        table["rows"] += len(rows) - len(keys)
+        self._mark(name, fresh, spec)
+
     def commit(self) -> int:
         """Publish; returns the version that now holds the changes."""
         self._open()
@@ -260,14 +315,18 @@ class Transaction:
         while True:
             latest = store.load(store.latest())
             self._check(latest)
-            merged = copy.deepcopy(latest)
+            merged, next_id = copy.deepcopy(latest), latest.next_id
             for name in self.wrote:
                 if name in self.now.tables:
-                    merged.tables[name] = self.now.tables[name]
+                    merged.tables[name] = copy.deepcopy(self.now.tables[name])
+                    if name in self.created:  # index ids are given out here, so that no two commits share one
+                        spec = merged.tables[name]["spec"]
+                        spec["ids"] = list(range(next_id, next_id + len(spec["indexes"])))
+                        next_id += len(spec["indexes"])
                 else:
                     merged.tables.pop(name, None)
             wrote = [{"table": n, "keys": sorted(k) if k is not None else None} for n, k in self.wrote.items()]
-            if store.publish(Manifest(latest.version + 1, max(latest.next_id, self.now.next_id), merged.tables, wrote)):
+            if store.publish(Manifest(latest.version + 1, next_id, merged.tables, wrote)):
                 return latest.version + 1
 
     def abort(self) -> None:

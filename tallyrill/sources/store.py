@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -117,14 +118,26 @@ class Store:
             table["files"] = [shutil.copytree(f, f"{target}/data/{os.path.basename(f)}") for f in table["files"]]
         Store(target).publish(Manifest(now.version + 1, now.next_id, now.tables))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete data that none of the newest ``keep`` versions names; returns how many folders went."""
-        held = {os.path.basename(f) for v in self.versions()[-keep:] for t in self.load(v).tables.values() for f in t["files"]}
-        gone = [d for d in os.listdir(f"{self.root}/data") if d not in held]
+    def vacuum(self, keep: int = 1, age: float = 7 * 86_400) -> int:
+        """Delete data that none of the newest ``keep`` versions names, and older manifests; returns how many folders went.
+
+        Whatever is younger than ``age`` seconds stays: an open transaction has written files that no manifest
+        names yet, and still reads the files and manifests of the version at which it began.
+        """
+        if keep < 1:
+            raise StoreError("at least one version stays")
+        limit = time.time() - age
+        young = lambda path: os.path.getmtime(path) > limit
+        versions = self.versions()
+        # a version was current until its successor came, so it is as young as that one
+        kept = {v for k, v in enumerate(versions) if k >= len(versions) - keep or young(f"{self.root}/log/{versions[k + 1]:012d}.json")}
+        held = {os.path.basename(f) for v in kept for t in self.load(v).tables.values() for f in t["files"]}
+        gone = [d for d in os.listdir(f"{self.root}/data") if d not in held and not young(f"{self.root}/data/{d}")]
         for d in gone:
             shutil.rmtree(f"{self.root}/data/{d}")
-        for v in self.versions()[:-keep]:
-            os.unlink(f"{self.root}/log/{v:012d}.json")
+        for v in versions:
+            if v not in kept:
+                os.unlink(f"{self.root}/log/{v:012d}.json")
         return len(gone)
 
     def stats(self) -> dict:

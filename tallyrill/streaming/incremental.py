@@ -13,12 +13,22 @@ from tallyrill.operators.engine import Engine, classify
 from tallyrill.plans.market import recomputed
 
 
-def apply_batch(engine: Engine, batch: DataFrame, bars: str = "bars", features: str = "features", marks: str = "watermarks") -> dict[str, int]:
-    """Upsert bars (symbol, ts, open, high, low, close, volume), recompute tails, advance watermarks; counts by class."""
+def newest(batch: DataFrame, key: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the one of the largest ``order``; of equal ones, or without it, the largest row."""
+    rest = F.struct(*([F.col(order)] if order else []), *(F.col(c) for c in batch.columns if c not in key and c != order))
+    best = batch.groupBy(*key).agg(F.max(rest).alias("best"))
+    return best.select(*key, "best.*").select(*(c for c in batch.columns if c != order))
+
+
+def apply_batch(engine: Engine, batch: DataFrame, bars: str = "bars", features: str = "features", marks: str = "watermarks", order: str | None = None) -> dict[str, int]:
+    """Upsert bars (symbol, ts, open, high, low, close, volume), recompute tails, advance watermarks; counts by class.
+
+    ``order`` names a further column that tells which of several versions of one bar is the newest.
+    """
 
     def work(tx):
         spec = tx.spec(bars)
-        latest = batch.dropDuplicates(spec.key)
+        latest = newest(batch, spec.key, order)
         marked = tx._kept(classify(tx.frame(bars), latest, spec.key))
         counts = {r.merge_class: r["count"] for r in marked.groupBy("merge_class").count().collect()}
         moved = marked.filter("merge_class <> 'unchanged'")

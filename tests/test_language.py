@@ -104,6 +104,72 @@ def test_statements_and_transactions(spark, tmp_path):
     assert engine.execute("drop table users").rows_affected == 6
 
 
+STOCK = "create table stock (shelf string, code int, units int, primary key (code))"
+
+
+def test_concurrent_creates_get_ids_of_their_own(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    one, two = engine.begin(), engine.begin()
+    one.execute("create table a (k int, primary key (k), index (v, k), v string)")
+    two.execute("create table b (k int, primary key (k))")
+    one.commit()
+    two.commit()
+    assert sorted(i for t in engine.tables() for i in t.ids) == [3, 4, 5]
+    assert engine.execute("select value from @meta").collect()[0].value == 6
+
+
+def test_vacuum_spares_open_transactions(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.execute(STOCK)
+    engine.execute("insert into stock (code, shelf, units) values (1, 'left', 5)")
+    tx = engine.begin()
+    tx.execute("insert into stock (code, shelf, units) values (2, 'right', 7)")
+    engine.execute("create table other (k int, primary key (k))")
+    assert engine.store.vacuum() == 0
+    tx.commit()
+    assert engine.execute("select * from stock").count() == 2
+    assert engine.store.vacuum(age=0) > 0 and len(engine.store.versions()) == 1
+    assert engine.execute("select units from stock").count() == 2
+
+
+def test_batches_fold_and_fail_whole(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.execute(STOCK)
+    row = lambda k, n: {"code": k, "shelf": f"s{k}", "units": n}
+    tx = engine.begin()
+    batch = [("insert", "stock", row(k, 0)) for k in range(500)] + [("update", "stock", row(k, 9)) for k in range(0, 500, 2)]
+    batch += [("delete", "stock", {"code": 3}), ("delete", "stock", {"code": 9999}), ("insert", "stock", row(3, 4)), ("upsert", "stock", row(5, 0))]
+    assert tx.apply_batch(batch).rows_affected == 500 + 250 + 2
+    for bad, at in ([("insert", "stock", row(3, 1))], 0), ([("delete", "stock", row(3, 1)), ("update", "stock", row(3, 1))], 1), ([("upsert", "stock", {"code": 1})], 0), ([("upsert", "stock", {**row(1, 1), "units": "x"})], 0):
+        with pytest.raises(StoreError, match=f"change {at}"):
+            tx.apply_batch(bad)
+    tx.commit()
+    rows = {r.code: r.units for r in engine.execute("select code, units from stock").collect()}
+    assert len(rows) == 500 and rows[3] == 4 and rows[4] == 9 and rows[5] == 0
+    tx = engine.begin()
+    assert tx.apply_batch([("delete", "stock", {"code": k}) for k in range(490)]).rows_affected == 490
+    tx.commit()
+    assert engine.execute("select * from stock").count() == 10 and engine.store.stats()["rows"] == 10
+
+
+def test_limits_beyond_32_bits(spark):
+    df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
+    ask = lambda t: [r.id for r in query(spark, t, df, USERS).collect()]
+    assert ask(f"select id from users limit {2**33}") == [1, 2, 3, 4]
+    assert ask(f"select id from users limit 1, {2**33}") == [2, 3, 4]
+    assert ask(f"select id from users limit {2**33}, 5") == []
+
+
+def test_hint_chooses_the_order(spark):
+    from tallyrill.operators.engine import select
+
+    df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
+    ask = lambda hint: [r.id for r in select(spark, df, USERS, parse("select id from users"), hint).collect()]
+    assert ask(["id"]) == [1, 2, 3, 4] and ask(["age", "name"]) == sorted((r[0] for r in ROWS), key=lambda i: (ROWS[i - 1][2], ROWS[i - 1][1]))
+    with pytest.raises(QueryError):
+        ask(["name"])
+
+
 def test_crash_before_publish_changes_nothing(tmp_path):
     store = Store(str(tmp_path / "db"))
     now = store.load(0)
