@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyrill.functions import calendar, scalars
 from tallyrill.operators import engine
 from tallyrill.operators.syntax import parse
-from tallyrill.plans import market, models
+from tallyrill.plans import experiment, market, models, service
 from tallyrill.sources.store import TableSpec
 
 QUERIES: dict = {}
@@ -221,12 +221,22 @@ query("session_except", f"with {BARS}, {CALENDAR} select day from s except selec
 select q.*, x.expected, x.expected - coalesce(y.missing, 0) as met, coalesce(y.missing, 0)::bigint as missing, round((x.expected - coalesce(y.missing, 0)) * 1000000 / x.expected)::bigint as coverage_ppm, y.sample
 from q join (select symbol, count(*)::bigint as expected from e group by symbol) x using (symbol) left join (select symbol, count(*)::bigint as missing, string_agg(day::varchar, ',' order by day) filter (where k <= 50) as sample from (select *, row_number() over (partition by symbol order by day) as k from m) group by symbol) y using (symbol)""")
 def quality_report(spark, sf_dir):
-    df = dated(bars(spark, sf_dir)).withColumn("prev", F.lag("close", 1).over(market.series()))
-    df = df.join(F.broadcast(all_sessions(spark).withColumn("session", F.lit(True))), "day", "left")
-    counts = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("observed"), F.count_if(F.col("session").isNull()).alias("unexpected"), F.count_if(F.abs(F.log(F.col("close") / F.col("prev"))) > 0.25).alias("outliers"), F.count_if(F.col("volume") == 0).alias("zero_volume"))
-    want = expected(df, spark).join(df.select("symbol", "day", F.lit(True).alias("seen")), ["symbol", "day"], "left")
-    gaps = want.groupBy("symbol").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("seen")).alias("met"), F.sort_array(F.collect_list(F.when(F.col("seen").isNull(), F.col("day")))).alias("days"))
-    return counts.join(gaps, "symbol").select("symbol", "observed", "unexpected", "outliers", "zero_volume", "expected", "met", (F.col("expected") - F.col("met")).alias("missing"), F.round(F.col("met") * 1_000_000 / F.col("expected")).cast("bigint").alias("coverage_ppm"), F.when(F.size("days") > 0, F.array_join(F.slice("days", 1, 50), ",")).alias("sample"))
+    """One aggregation by symbol; the sessions, a few hundred a year, are an array that the bars' days are taken out of."""
+    days = all_sessions(spark)
+    listed = F.array(*(F.lit(r.day) for r in days.orderBy("day").collect()))
+    df = dated(bars(spark, sf_dir)).join(F.broadcast(days.withColumn("session", F.lit(True))), "day", "left")
+    df = df.withColumn("prev", F.lag("close", 1).over(market.series()))
+    far = F.abs(F.log(F.col("close") / F.col("prev"))) > 0.25
+    found = df.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("observed"), F.count_if(F.col("session").isNull()).alias("unexpected"), F.count_if(far).alias("outliers"), F.count_if(F.col("volume") == 0).alias("zero_volume"),
+        F.count_if(F.col("session")).alias("met"), F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_list(F.when(F.col("session"), F.col("day"))).alias("seen"),
+    )
+    found = found.withColumn("days", F.filter(listed, lambda d: d.between(F.col("lo"), F.col("hi"))))
+    found = found.withColumn("gaps", F.array_except("days", "seen")).withColumn("expected", F.size("days").cast("bigint"))
+    missing = F.size("gaps").cast("bigint")
+    sample = F.when(missing > 0, F.array_join(F.slice(F.transform("gaps", lambda d: d.cast("string")), 1, 50), ","))
+    coverage = F.round(F.col("met") * 1_000_000 / F.col("expected")).cast("bigint")
+    return found.select("symbol", "observed", "unexpected", "outliers", "zero_volume", "expected", "met", missing.alias("missing"), coverage.alias("coverage_ppm"), sample.alias("sample"))
 
 
 SPLITS = (("1-URGENT", 820_454_400, 1, 2), ("1-URGENT", 915_148_800, 1, 3), ("2-HIGH", 883_612_800, 3, 2))
@@ -322,10 +332,27 @@ def supported_outlook(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("symbol").agg(F.when(up & down, "mixed").when(up, "positive").when(down, "negative").otherwise("flat").alias("outlook"))
 
 
-@query("scorecard", "select quality, count(*)::bigint as n, count(*) filter (where toxic = quality)::bigint as correct, round(count(*) filter (where toxic = quality) / count(*), 6) as accuracy from labels group by quality")
+@query("scorecard", """
+with c as (
+  select case when quality = 0 and toxic = 0 then 'abstain' when toxic = 1 then 'negative' else 'positive' end as expected,
+         case when doc_id % 4 = 0 then 'abstain' when toxic = 1 then 'negative' else 'positive' end as outlook,
+         ['e' || doc_id % 3, 'e' || doc_id % 5] as cited, ['e0', 'e' || doc_id % 2] as supported
+  from labels)
+select count(*)::bigint as cases, count(*) filter (where expected = outlook)::bigint as correct,
+       round(count(*) filter (where expected = outlook) / count(*), 6) as accuracy,
+       round(sum(len(list_intersect(cited, supported))) / sum(len(cited)), 6) as citation_precision,
+       round(count(*) filter (where expected = 'abstain' and outlook = 'abstain') / count(*) filter (where expected = 'abstain'), 6) as abstention_recall
+from c""")
 def scorecard(spark, sf_dir):
-    same = F.count_if(F.col("toxic") == F.col("quality"))
-    return read(spark, sf_dir, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), same.alias("correct"), F.round(same / F.count(F.lit(1)), 6).alias("accuracy"))
+    """The scorecard operator over cases made from labels."""
+    named = lambda k: F.concat(F.lit("e"), (F.col("doc_id") % k).cast("string"))
+    sign = F.when(F.col("toxic") == 1, "negative").otherwise("positive")
+    cases = read(spark, sf_dir, "labels").select(
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 0), "abstain").otherwise(sign).alias("expected"),
+        F.when(F.col("doc_id") % 4 == 0, "abstain").otherwise(sign).alias("outlook"),
+        F.array(named(3), named(5)).alias("cited"), F.array(F.lit("e0"), named(2)).alias("supported"),
+    )
+    return rounded(service.scorecard(cases))
 
 
 @query("nearest_rank", "select event_type, " + ", ".join(f"percentile_disc({p}) within group (order by value) as p{int(p * 100)}" for p in (0.5, 0.95, 0.99)) + " from events group by event_type")
@@ -377,28 +404,93 @@ def fk_violations(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(known, "l_orderkey", "left_anti")
 
 
-@query("filings_topk", "select vec_id, pos, round(item, 6) as item from (select vec_id, unnest(range(len(embedding))) as pos, unnest(embedding)::double as item from embeddings) where pos in (0, 3, 5) order by item desc, vec_id desc, pos desc limit 20")
+FILED = """filed as (
+  select 'S' || o_custkey % 50 as symbol, lpad((o_custkey % 50 + 1)::varchar, 10, '0') as cik,
+         lpad((o_custkey % 50 + 1)::varchar, 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad((o_orderkey % 1000000)::varchar, 6, '0') as accession,
+         case o_orderpriority[1] when '1' then '10-K' when '2' then '8-K' when '3' then '10-Q/A' else 'S-1' end as form,
+         epoch(o_orderdate)::bigint as published_at, 'd' || o_orderkey || '.htm' as document
+  from orders)"""
+
+
+def submissions(spark, sf_dir) -> DataFrame:
+    """(symbol, cik, payload): one document of parallel arrays for each of fifty companies, made from orders."""
+    orders = read(spark, sf_dir, "orders")
+    company = F.col("o_custkey") % 50
+    cik = F.lpad((company + 1).cast("string"), 10, "0")
+    first = F.substring("o_orderpriority", 1, 1)
+    rows = orders.select(
+        F.concat(F.lit("s"), company.cast("string")).alias("symbol"), cik.alias("cik"),
+        F.concat_ws("-", cik, F.date_format("o_orderdate", "yy"), F.lpad((F.col("o_orderkey") % 1_000_000).cast("string"), 6, "0")).alias("accessionNumber"),
+        F.when(first == "1", "10-K").when(first == "2", "8-K").when(first == "3", "10-Q/A").otherwise("S-1").alias("form"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("acceptanceDateTime"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primaryDocument"),
+    )
+    names = ["accessionNumber", "form", "acceptanceDateTime", "primaryDocument"]
+    each = rows.groupBy("symbol", "cik").agg(F.collect_list(F.struct(*names)).alias("f"))
+    recent = F.struct(*(F.col(f"f.{n}").alias(n) for n in names))
+    return each.select("symbol", "cik", F.to_json(F.struct("cik", F.array("symbol").alias("tickers"), F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
+
+
+@query("filings_topk", f"""
+with {FILED}
+select symbol, cik, accession, form, document, published_at, null::varchar as fault,
+       'https://www.sec.gov/Archives/edgar/data/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || document as url
+from filed where form <> 'S-1' qualify row_number() over (partition by symbol order by published_at desc, accession desc) <= 20""")
 def filings_topk(spark, sf_dir):
-    both = F.arrays_zip(F.sequence(F.lit(0), F.size("embedding") - 1).alias("pos"), F.col("embedding").alias("item"))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.explode(both).alias("z")).select("vec_id", F.col("z.pos").cast("bigint").alias("pos"), F.col("z.item").cast("double").alias("item"))
-    return rows.filter(F.col("pos").isin(0, 3, 5)).orderBy(F.desc("item"), F.desc("vec_id"), F.desc("pos")).limit(20).withColumn("item", F.round("item", 6))
-
-
-@query("filings_asof", "select event_type, user_id, ts, event_id from (select * from events where ts <= timestamp '2024-01-20' and ts > timestamp '2024-01-20' - interval 15 day qualify row_number() over (partition by event_type, user_id order by ts desc, event_id desc) = 1) qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 3")
+    return service.filings(submissions(spark, sf_dir))
+
+
+@query("filings_asof", """
+with f as (
+  select event_type as symbol, user_id::varchar as accession, floor(epoch(ts))::bigint as published_at,
+         floor(epoch(ts))::bigint + event_id % 5 * 86400 as retrieved_at, event_id from events),
+k as (
+  select * from f where published_at <= 1705708800 and published_at >= 1705708800 - 365 * 86400 and retrieved_at <= 1705708800
+  qualify row_number() over (partition by symbol, accession order by published_at desc, retrieved_at desc, event_id desc) = 1)
+select symbol, accession, published_at, retrieved_at, event_id from k
+qualify row_number() over (partition by symbol order by published_at desc, accession desc) <= 3""")
 def filings_asof(spark, sf_dir):
-    seen = read(spark, sf_dir, "events").filter("ts <= timestamp '2024-01-20' and ts > timestamp '2024-01-20' - interval 15 days")
-    newest = [F.desc("ts"), F.desc("event_id")]
-    first = seen.withColumn("k", F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy(*newest))).filter("k = 1")
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(*newest))).filter("r <= 3").select("event_type", "user_id", "ts", "event_id")
+    published = F.unix_timestamp("ts")
+    stored = read(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("user_id").cast("string").alias("accession"), published.alias("published_at"), (published + F.col("event_id") % 5 * 86_400).alias("retrieved_at"), "event_id")
+    return service.filings_at(stored, 1_705_708_800)
 
 
-@query("artifact_chunks", "select doc_id, (length(h) + 1799) // 1800 as chunks, sha256(h) as digest from (select doc_id, hex(encode(text)) as h from documents where text is not null)")
+@query("artifact_chunks", """
+select doc_id::varchar as run_id, octet_length(encode(text))::bigint as bytes, ((octet_length(encode(text)) + 1799) // 1800)::bigint as chunks, sha256(text) as digest, null::varchar as fault
+from documents where octet_length(encode(text)) > 0""")
 def artifact_chunks(spark, sf_dir):
-    """Hex text in chunks of 1800, put together again by sequence."""
-    h = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
-    cut = h.select("doc_id", F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("h") + 1799) / 1800) - 1, F.lit(0)).cast("int")), lambda k: F.substring("h", k * 1800 + 1, F.lit(1800))).alias("parts"))
-    size = F.size(F.filter("parts", lambda p: p != "")).cast("bigint")
-    return cut.select("doc_id", size.alias("chunks"), F.sha2(F.array_join("parts", ""), 256).alias("digest"))
+    """Texts cut into artifact rows and put together again, with the checks of the reader."""
+    texts = read(spark, sf_dir, "documents").filter(F.octet_length("text") > 0)
+    rows = service.artifact_rows(texts.select(F.col("doc_id").cast("string").alias("run_id"), F.lit("text").alias("kind"), F.encode("text", "UTF-8").alias("payload")))
+    return service.artifacts(rows).select("run_id", F.length("payload").cast("bigint").alias("bytes"), "chunks", "digest", "fault")
+
+
+TUNED = f"""{SAMPLES}, {PARTS},
+kept as (select p.* from parts p left join firsts f on f.symbol = p.symbol
+  and f.part = case p.part when 'train' then 'tune' when 'tune' then 'calibration' when 'calibration' then 'test' end
+  where f.origin is null or p.target_ts < f.origin)"""
+
+
+@query("tuning_scores", f"""
+with {TUNED}, guess as (
+  select symbol, future, unnest(['persistence', 'moving-average', 'moving-average']) as family, unnest(['{{}}', '{{"window": 5}}', '{{"window": 20}}']) as spec,
+         unnest([0.0, -ln(1 + x3), -ln(1 + x4)]) as y, close from kept where part = 'tune')
+select symbol, family, spec, round(avg(abs(greatest(1, floor(close * exp(greatest(least(y, 0.5), -0.5)) + 0.5)) - future)) / 1e6, 3) as tuning_mae
+from guess group by all""")
+def tuning_scores(spark, sf_dir):
+    """Candidates without a fit, as an experiment scores them before it chooses."""
+    found = experiment.tuning(samples(spark, sf_dir)).filter(F.col("family").isin("persistence", "moving-average"))
+    return found.select("symbol", "family", "spec", F.round("tuning_mae", 3).alias("tuning_mae"))
+
+
+@query("walk_forward_mae", f"""
+with {TUNED}
+select symbol, mode, count(*)::bigint as n, round(avg(abs(close - future)) / 1e6, 6) as mae
+from kept, (values ('holdout'), ('walk-forward')) m(mode) where part = 'test' group by all""")
+def walk_forward_mae(spark, sf_dir):
+    """Persistence through the whole experiment: its folds must cover the test part once."""
+    chosen = spark.createDataFrame([(r.symbol, "persistence", "{}", True) for r in bars(spark, sf_dir).select("symbol").distinct().collect()], "symbol string, family string, spec string, chosen boolean")
+    found = experiment.report(experiment.experiment(samples(spark, sf_dir), every=100, chosen=chosen))
+    return found.select("symbol", "mode", "n", F.round("mae", 6).alias("mae"))
 
 
 @query("features_incremental", f"with {FULL} select * from features where ts >= {AT}")

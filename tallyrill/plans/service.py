@@ -74,14 +74,14 @@ def artifact_rows(payloads: DataFrame) -> DataFrame:
 
 
 def artifacts(rows: DataFrame) -> DataFrame:
-    """(run_id, kind, payload, digest, fault): chunks put together; ``fault`` is null, ``sequence``, ``size`` or ``checksum``."""
+    """(run_id, kind, payload, digest, chunks, fault): chunks put together; ``fault`` is null, ``sequence``, ``size`` or ``checksum``."""
     parts = F.array_sort(F.collect_list(F.struct("chunk", "payload")))
     each = rows.groupBy("run_id", "kind").agg(parts.alias("parts"), F.min("digest").alias("digest"), F.max("digest").alias("other"), F.min("chunks").alias("chunks"), F.max("chunks").alias("most"))
     # binary concatenation by hex, since array_join takes strings
     each = each.withColumn("payload", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), "")))
     order = F.transform("parts", lambda p: p["chunk"]) == F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("chunks") - 1, F.lit(0).cast("bigint")))
     fault = F.when((F.col("digest") != F.col("other")) | (F.col("chunks") != F.col("most")) | ~order, "sequence").when(F.length("payload") > MAX_ARTIFACT, "size").when(F.sha2("payload", 256) != F.col("digest"), "checksum")
-    return each.select("run_id", "kind", F.when(fault.isNull(), F.col("payload")).alias("payload"), "digest", fault.alias("fault"))
+    return each.select("run_id", "kind", F.when(fault.isNull(), F.col("payload")).alias("payload"), "digest", "chunks", fault.alias("fault"))
 
 
 def put_once(tx: Transaction, table: str, rows: DataFrame, compared: list[str]) -> int:

@@ -7,8 +7,8 @@ from tallyrill.operators.engine import Engine, Mutation, query
 from tallyrill.operators.syntax import QueryError, parse
 from tallyrill.sources.store import ConflictError, Store, StoreError, TableSpec
 
-USERS = TableSpec("users", [("id", "bigint"), ("name", "string"), ("age", "bigint")], ["id"], [["age", "name"]]).checked()
-ROWS = [(1, "Ada", 36), (2, "Linus", 54), (3, "Grace", 36), (4, "Ken", 82)]
+CREW = TableSpec("crew", [("id", "bigint"), ("name", "string"), ("age", "bigint")], ["id"], [["age", "name"]]).checked()
+ROWS = [(1, "Mira", 41), (2, "Tomas", 58), (3, "Wanda", 41), (4, "Yuri", 90)]
 
 
 def value(text):
@@ -49,59 +49,59 @@ def test_bounds():
 
 def test_select_over_frames(spark):
     df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
-    ask = lambda t: [tuple(r) for r in query(spark, t, df, USERS).collect()]
-    assert ask("select name, age + 1 from users index by age = 36 where name != 'Grace'") == [("Ada", 37)]
-    assert [r[0] for r in ask("select id from users index by age < 80 and age >= 36")] == [2, 3, 1]
-    assert ask("select id from users limit 1, 2") == [(2,), (3,)]
-    assert ask("select id from users index by (age, name) > (36, 'Ada')") == [(3,), (2,), (4,)]
-    for bad in ("select name + 1 from users", "select id from users where age", "select id from users index by name = 'x'", "select nope from users"):
+    ask = lambda t: [tuple(r) for r in query(spark, t, df, CREW).collect()]
+    assert ask("select name, age + 1 from crew index by age = 41 where name != 'Wanda'") == [("Mira", 42)]
+    assert [r[0] for r in ask("select id from crew index by age < 85 and age >= 41")] == [2, 3, 1]
+    assert ask("select id from crew limit 1, 2") == [(2,), (3,)]
+    assert ask("select id from crew index by (age, name) > (41, 'Mira')") == [(3,), (2,), (4,)]
+    for bad in ("select name + 1 from crew", "select id from crew where age", "select id from crew index by name = 'x'", "select nope from crew"):
         with pytest.raises(QueryError):
-            query(spark, bad, df, USERS)
+            query(spark, bad, df, CREW)
 
 
 def test_division_by_zero_only_where_reached(spark):
     df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
-    assert query(spark, "select id from users where id != 1 and 10 / (id - 1) > 4", df, USERS).count() == 2
+    assert query(spark, "select id from crew where id != 1 and 10 / (id - 1) > 4", df, CREW).count() == 2
     with pytest.raises(Exception, match="division by zero"):
-        query(spark, "select 10 / (id - 1) from users", df, USERS).collect()
+        query(spark, "select 10 / (id - 1) from crew", df, CREW).collect()
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
 
 def test_tuple_bound_is_pushed(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame(ROWS, "id bigint, name string, age bigint").write.parquet(path)
-    plan = query(spark, "select id from users index by (age, name) > (36, 'Ada') limit 2", spark.read.parquet(path), USERS)._jdf.queryExecution().toString()
-    assert "GreaterThanOrEqual(age,36)" in plan and "TakeOrderedAndProject" in plan
+    plan = query(spark, "select id from crew index by (age, name) > (41, 'Mira') limit 2", spark.read.parquet(path), CREW)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(age,41)" in plan and "TakeOrderedAndProject" in plan
 
 
 def test_statements_and_transactions(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "db"))
-    engine.execute("create table users (name string, age int, id int, index (age, name), primary key (id),)")
+    engine.execute("create table crew (name string, age int, id int, index (age, name), primary key (id),)")
     assert [c for c, _ in engine.tables()[0].columns] == ["id", "name", "age"]
-    assert engine.execute("insert into users (id, name, age) values (1, 'Ada', 36), (2, 'Linus', 54), (3, 'Grace', 36), (4, 'Ken', 82)").rows_affected == 4
+    assert engine.execute("insert into crew (id, name, age) values (1, 'Mira', 41), (2, 'Tomas', 58), (3, 'Wanda', 41), (4, 'Yuri', 90)").rows_affected == 4
     with pytest.raises(StoreError):
-        engine.execute("insert into users (id, name, age) values (9, 'x', 1), (1, 'y', 2)")
-    assert engine.execute("update users set age = age + 1 index by id = 3").rows_affected == 1
-    assert engine.execute("update users set age = age").rows_affected == 0
-    assert [r.id for r in engine.execute("select id from users index by age >= 37 and age < 60").collect()] == [3, 2]
+        engine.execute("insert into crew (id, name, age) values (9, 'x', 1), (1, 'y', 2)")
+    assert engine.execute("update crew set age = age + 1 index by id = 3").rows_affected == 1
+    assert engine.execute("update crew set age = age").rows_affected == 0
+    assert [r.id for r in engine.execute("select id from crew index by age >= 42 and age < 66").collect()] == [3, 2]
     tx = engine.begin()
-    assert tx.execute("delete from users where age > 70").rows_affected == 1
-    assert tx.execute("select * from users").count() == 3 and engine.execute("select * from users").count() == 4
+    assert tx.execute("delete from crew where age > 75").rows_affected == 1
+    assert tx.execute("select * from crew").count() == 3 and engine.execute("select * from crew").count() == 4
     other = engine.begin()
-    other.execute("update users set age = 1 where id = 1")
+    other.execute("update crew set age = 1 where id = 1")
     tx.commit()
     with pytest.raises(ConflictError):
         other.commit()
-    assert engine.begin().delete_range("delete from users index by id >= 1", 2) == Mutation(2, "deleted", True)
+    assert engine.begin().delete_range("delete from crew index by id >= 1", 2) == Mutation(2, "deleted", True)
     with pytest.raises(StoreError, match="change 1"):
-        engine.begin().apply_batch([("upsert", "users", {"id": 9, "name": "n", "age": 1}), ("upsert", "nope", {})])
+        engine.begin().apply_batch([("upsert", "crew", {"id": 9, "name": "n", "age": 1}), ("upsert", "nope", {})])
     engine.store.backup(str(tmp_path / "copy"))
     copy = Engine(spark, str(tmp_path / "copy"), read_only=True)
-    assert copy.execute("select * from users").count() == 3
+    assert copy.execute("select * from crew").count() == 3
     with pytest.raises(StoreError):
-        copy.execute("delete from users")
-    assert engine.execute("select name from @table").collect()[0].name == "users"
-    assert engine.execute("drop table users").rows_affected == 6
+        copy.execute("delete from crew")
+    assert engine.execute("select name from @table").collect()[0].name == "crew"
+    assert engine.execute("drop table crew").rows_affected == 6
 
 
 STOCK = "create table stock (shelf string, code int, units int, primary key (code))"
@@ -154,17 +154,17 @@ def test_batches_fold_and_fail_whole(spark, tmp_path):
 
 def test_limits_beyond_32_bits(spark):
     df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
-    ask = lambda t: [r.id for r in query(spark, t, df, USERS).collect()]
-    assert ask(f"select id from users limit {2**33}") == [1, 2, 3, 4]
-    assert ask(f"select id from users limit 1, {2**33}") == [2, 3, 4]
-    assert ask(f"select id from users limit {2**33}, 5") == []
+    ask = lambda t: [r.id for r in query(spark, t, df, CREW).collect()]
+    assert ask(f"select id from crew limit {2**33}") == [1, 2, 3, 4]
+    assert ask(f"select id from crew limit 1, {2**33}") == [2, 3, 4]
+    assert ask(f"select id from crew limit {2**33}, 5") == []
 
 
 def test_hint_chooses_the_order(spark):
     from tallyrill.operators.engine import select
 
     df = spark.createDataFrame(ROWS, "id bigint, name string, age bigint")
-    ask = lambda hint: [r.id for r in select(spark, df, USERS, parse("select id from users"), hint).collect()]
+    ask = lambda hint: [r.id for r in select(spark, df, CREW, parse("select id from crew"), hint).collect()]
     assert ask(["id"]) == [1, 2, 3, 4] and ask(["age", "name"]) == sorted((r[0] for r in ROWS), key=lambda i: (ROWS[i - 1][2], ROWS[i - 1][1]))
     with pytest.raises(QueryError):
         ask(["name"])
