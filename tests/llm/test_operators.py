@@ -230,6 +230,20 @@ def test_sharding(docs, empty):
     assert set(packed) == set(range(8))
 
 
+def test_shards_are_even_and_name_their_rows(spark):
+    import zlib
+
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(rng.choice(WORDS, size=int(rng.integers(1, 80))))) for k in range(1_500)] + [(7, "same"), (7, "same"), (None, None), (None, "x"), (2_000, "é" * 3)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    want = sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in found) == want
+    size = [sum(r["size"] for r in found if r.shard == s) for s in range(6)]
+    assert max(size) - min(size) <= 0.02 * sum(size) / 6
+    for s in range(6):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
 def test_urls(spark):
     cases = [(1, "http://a.Example.COM/en/7x?q", "example.com/en/7", "allow"), (2, "https://notexample.com/en/", "com/en/", "block"), (3, None, None, "allow"), (4, "no scheme", None, "allow"), (5, "x://spam-farm.org/a", None, "block"), (6, "http://h.net#x/de/", None, "allow")]
     df = spark.createDataFrame([(i, u, "h") for i, u, _, _ in cases], "page_id long, url string, host string")
