@@ -6,7 +6,8 @@ shards x TILES tiles, which are units too.  A group above a whole shard's share
 of doc_id into parts of about half a share.  The number of units is so bounded by the parameters,
 whatever the table holds, and the driver packs them: largest first, each to the shard where the
 dot product of its vector with the residual capacities is highest among those it fits in; where it fits in
-none, to the one left fullest last (highest dot product of all).
+none, to the one left fullest last (highest dot product of all).  Moves and swaps of units between shards
+then even out bytes, tokens and rows jointly.
 
 Law kept: ``bytes`` - the shards' sizes are near equal.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tallyrill.llm.workspace import Workspace, require
 
 SHARDS, TILES, HEAVY = 24, 256, 1 / 64
+#: Weights of bytes, tokens and rows when shards are evened out, steps for each shard, shards tried in a step, and the share at which one is even.
+EVEN, STEPS, TRIES, NEAR_EVEN = (2.0, 1.0, 1.0), 40, 24, 2e-4
 #: Rows of one sub-bucket when slots are numbered.
 ROWS_OF_BUCKET = 20_000
 
@@ -42,21 +45,45 @@ def pack(vectors: np.ndarray, shards: int = SHARDS) -> np.ndarray:
         pick = np.where(fits, gain, -np.inf) if fits.any() else gain
         out[k] = int(np.argmax(pick))
         residual[out[k]] -= unit[k]
-    return even_bytes(unit, residual, out)
+    return evened(unit, residual, out)
 
 
-def even_bytes(unit: np.ndarray, residual: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Move units from the largest shard to the smallest while that narrows their bytes, the first dimension."""
-    for _ in range(20 * len(residual)):
-        big, small = int(np.argmin(residual[:, 0])), int(np.argmax(residual[:, 0]))
-        gap = residual[small, 0] - residual[big, 0]
-        mine = np.flatnonzero((out == big) & (unit[:, 0] > 0) & (unit[:, 0] < gap))
-        if gap < 1e-4 or not len(mine):
+def evened(unit: np.ndarray, residual: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Move or swap units between two shards while that lowers the sum of their squared weighted residuals, in all dimensions jointly.
+
+    Each step takes the shard furthest from even and tries the others, those that differ most from it first.
+    """
+    weight = np.array(EVEN[: unit.shape[1]])
+    unit, residual, settled = unit * weight, residual * weight, set()
+    for _ in range(STEPS * len(residual)):
+        off = (residual**2).sum(axis=1)
+        worst = next((int(s) for s in np.argsort(-off) if int(s) not in settled), None)
+        if worst is None or off[worst] < NEAR_EVEN**2:
+            break
+        mine = np.flatnonzero(out == worst)
+        give = np.vstack([np.zeros(unit.shape[1]), unit[mine]])
+        for other in np.argsort(residual @ residual[worst])[:TRIES]:
+            if other == worst:
+                continue
+            theirs = np.flatnonzero(out == other)
+            take = np.vstack([np.zeros(unit.shape[1]), unit[theirs]])
+            # with d = give - take, |worst + d|^2 + |other - d|^2 falls by -2 d.(worst - other) - 2 d.d
+            gap = residual[worst] - residual[other]
+            fall = -2 * ((give @ gap)[:, None] - (take @ gap)[None, :]) - 2 * ((give**2).sum(axis=1)[:, None] + (take**2).sum(axis=1)[None, :] - 2 * give @ take.T)
+            i, j = np.unravel_index(int(fall.argmax()), fall.shape)
+            if fall[i, j] <= 1e-10:
+                continue
+            moved = give[i] - take[j]
+            residual[worst] += moved
+            residual[other] -= moved
+            if i:
+                out[mine[i - 1]] = other
+            if j:
+                out[theirs[j - 1]] = worst
+            settled -= {worst, int(other)}
             break
-        k = mine[np.argmin(np.abs(unit[mine, 0] - gap / 2))]
-        residual[big] += unit[k]
-        residual[small] -= unit[k]
-        out[k] = small
+        else:
+            settled.add(worst)
     return out
 
 

@@ -228,6 +228,9 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
     packed = sharding.pack(np.random.default_rng(1).random((500, 3)) + 0.1, 8)
     assert set(packed) == set(range(8))
+    hot = np.vstack([[[40.0, 40.0, 1.0]] * 3, np.random.default_rng(2).random((200, 3))])
+    assert len(set(sharding.pack(hot, 8)[:3])) == 3  # each of the largest in a shard of its own
+    assert not len(sharding.pack(np.zeros((0, 3)), 8)) and len(sharding.pack(np.zeros((5, 3)), 8)) == 5
 
 
 def test_shards_are_even_and_name_their_rows(spark):
@@ -239,7 +242,10 @@ def test_shards_are_even_and_name_their_rows(spark):
     want = sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in found) == want
     size = [sum(r["size"] for r in found if r.shard == s) for s in range(6)]
-    assert max(size) - min(size) <= 0.02 * sum(size) / 6
+    assert max(size) - min(size) <= 0.002 * sum(size) / 6
+    tokens_of = [sum(r.tokens for r in found if r.shard == s) for s in range(6)]
+    rows_of = [sum(r.shard == s for r in found) for s in range(6)]
+    assert max(tokens_of) - min(tokens_of) <= 0.005 * sum(tokens_of) / 6 and max(rows_of) - min(rows_of) <= 3, (tokens_of, rows_of)
     for s in range(6):
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
 
