@@ -174,7 +174,9 @@ query("quality_outliers", f"with {BARS} select symbol, ts, close, prev from (sel
 query("bar_order_violations", f"with {EBARS}, p as (select *, row_number() over (partition by symbol order by close, ts) as pos from ebars) select symbol, pos, ts, prev_ts from (select *, lag(ts) over (partition by symbol order by pos) as prev_ts from p) where ts <= prev_ts")(
     lambda spark, sf_dir: market.order_violations(ebars(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("symbol").orderBy("close", "ts")).cast("bigint"))).select("symbol", "pos", "ts", "prev_ts")
 )
-query("dataset_hash", f"with {BARS} select symbol, sha256(string_agg(concat_ws('|', ts, open, high, low, close, volume), chr(10) order by ts)) as digest, count(*)::bigint as n_bars from bars group by symbol")(lambda spark, sf_dir: market.dataset_hash(bars(spark, sf_dir)))
+LINE = """'{"Symbol":"' || symbol || '","Interval":"1d","Source":"","Timestamp":' || ts || ',"Open":' || open || ',"High":' || high || ',"Low":' || low
+    || ',"Close":' || close || ',"AdjustedClose":' || close || ',"Volume":' || volume || '}' || chr(10)"""
+query("dataset_hash", f"with {BARS} select symbol, sha256(string_agg({LINE}, '' order by ts)) as digest, count(*)::bigint as n_bars from bars group by symbol")(lambda spark, sf_dir: market.dataset_hash(bars(spark, sf_dir)))
 PERSIST = f"{BARS}, scored as (select *, abs(close - predicted) as abs_error, round(abs(close - predicted) * 1e6 / close)::bigint as ape_ppm from (select *, lag(close) over (partition by symbol order by ts) as predicted from bars) where predicted is not null)"
 query("backtest_persistence", f"with {PERSIST} select symbol, count(*)::bigint as n, round(sum(abs_error) / count(*))::bigint as mae, sum(ape_ppm) / count(*) / 1e6 as mape, count(*) filter (where close = predicted) / count(*) as direction_accuracy from scored group by symbol")(lambda spark, sf_dir: market.backtest(market.persistence(bars(spark, sf_dir))))
 query("pred_persistence", f"with {PERSIST} select symbol, ts, predicted, abs_error, ape_ppm from scored")(lambda spark, sf_dir: market.persistence(bars(spark, sf_dir)).select("symbol", "ts", "predicted", "abs_error", "ape_ppm"))

@@ -98,15 +98,21 @@ def split_adjusted(df: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.select("symbol", "ts", "close", scaled_ratio(F.col("close"), product("split_from"), product("split_to")).alias("adjusted_close"))
 
 
-def bar_line() -> Column:
-    """A bar as one line of its lineage text."""
-    return F.concat_ws("|", *(F.col(c).cast("string") for c in ("ts", "open", "high", "low", "close", "volume")))
+#: The names in a bar's line of lineage text, in order, and the value where a table lacks the column.
+LINEAGE = {"Symbol": "symbol", "Interval": "interval", "Source": "source", "Timestamp": "ts", "Open": "open", "High": "high", "Low": "low", "Close": "close", "AdjustedClose": "adjusted_close", "Volume": "volume"}
+MISSING = {"interval": "'1d'", "source": "''", "adjusted_close": "close"}
+
+
+def bar_line(df: DataFrame) -> Column:
+    """A bar as the JSON line of its lineage text, without the line's end; when it was imported has no part in it."""
+    return F.to_json(F.struct(*((F.col(c) if c in df.columns else F.expr(MISSING[c])).alias(name) for name, c in LINEAGE.items())), {"ignoreNullFields": "false"})
 
 
 def dataset_hash(df: DataFrame) -> DataFrame:
-    """SHA-256 of each series' bars in time order."""
-    lines = F.array_sort(F.collect_list(F.struct("ts", bar_line().alias("line"))))
-    return df.groupBy("symbol").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n_bars"))
+    """SHA-256 of each series' JSON lines in time order.  One digest is one sequence, so a series' lines meet in one task."""
+    lines = F.array_sort(F.collect_list(F.struct("ts", bar_line(df).alias("line"))))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return df.groupBy("symbol").agg(F.sha2(text, 256).alias("digest"), F.count(F.lit(1)).alias("n_bars"))
 
 
 def persistence(df: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 import datetime
-import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyrill.functions import calendar
 from tallyrill.operators.engine import Engine
 from tallyrill.plans import market, models
+from tallyrill.sources import generators
 from tallyrill.streaming.incremental import apply_batch
 
 FIELDS = "symbol string, ts bigint, open bigint, high bigint, low bigint, close bigint, volume bigint"
@@ -17,16 +18,20 @@ def linear(spark, n, first=0):
 
 
 def synthetic(spark):
-    days = [r.day for r in calendar.sessions(spark, "2022-01-03", "2024-12-31").collect()][:600]
-    state, price, rows = 42, 100.0, []
-    scale = lambda x: int(math.floor(x * 1_000_000 + 0.5))
-    for i, day in enumerate(sorted(days)):
-        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        noise = ((state >> 11) / (1 << 53) - 0.5) * 0.012
-        start, price = price, price * math.exp((-0.0006 if 200 <= i < 400 else 0.0008) + 0.004 * math.sin(i / 9) + noise)
-        ts = int(datetime.datetime(day.year, day.month, day.day, tzinfo=datetime.UTC).timestamp())
-        rows.append(("SYNTH", ts, scale(start), scale(max(start, price) * 1.003), scale(min(start, price) * 0.997), scale(price), 1_000_000 + i % 17 * 25_000))
-    return spark.createDataFrame(rows, FIELDS)
+    return generators.regime_bars(spark).select("symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def test_made_bars(spark):
+    made = generators.regime_bars(spark)
+    digest = market.dataset_hash(made).first()
+    assert (digest.symbol, digest.n_bars) == ("SYNTH", 600)
+    assert digest.digest == "b4ce07c27d7306ad627446cebedfa71a910b848f325ed7683555da37bdabc1f3"  # published for these bars
+    assert market.dataset_hash(made.withColumn("ingested_at", F.lit(7)).repartition(5)).first() == digest
+    late = generators.regime_bars(spark, datetime.date(2026, 8, 28)).orderBy("ts").collect()
+    assert len(late) == 600 and late[-1].ts == 1_787_788_800 and [r.close for r in late] == [r.close for r in made.orderBy("ts").collect()]
+    sine = generators.sine_bars(spark, "DEMO").orderBy("ts").collect()
+    assert len(sine) == 60 and (sine[0].open, sine[0].close, sine[0].high, sine[0].volume) == (100_000_000, 100_000_000, 101_000_000, 1_000_000)
+    assert sine[-1].ts - sine[0].ts == 59 * 86_400 and all(r.low < min(r.open, r.close) and r.high > max(r.open, r.close) for r in sine)
 
 
 def test_features_of_a_linear_series(spark):
